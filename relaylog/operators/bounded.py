@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,24 +35,15 @@ def _in_order(rows: DataFrame) -> DataFrame:
     return rows.repartition("channel", "slice").sortWithinPartitions("channel", "slice", *ORDER)
 
 
-def _group_starts(channel: np.ndarray, part: np.ndarray) -> np.ndarray:
-    new = np.ones(len(channel), dtype=bool)
-    new[1:] = (channel[1:] != channel[:-1]) | (part[1:] != part[:-1])
-    return new
-
-
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key, q = None, 0
     for pdf in batches:
-        channel, part = pdf["channel"].to_numpy(), pdf["slice"].to_numpy()
-        fresh = _group_starts(channel, part)
-        fresh[:1] = (key is None) or key != (channel[0], part[0]) if len(pdf) else fresh[:1]
         depth, status = [], []
-        for new, start, limit, step in zip(
-            fresh.tolist(), pdf["_start"].tolist(), pdf["_limit"].tolist(), pdf["_step"].tolist(), strict=True
+        for channel, part, start, limit, step in zip(
+            *(pdf[c].tolist() for c in ("channel", "slice", "_start", "_limit", "_step")), strict=True
         ):
-            if new:
-                q = start
+            if key != (channel, part):
+                key, q = (channel, part), start
             if step > 0:
                 ok = q < limit
                 status.append(202 if ok else 507)
@@ -62,9 +52,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 status.append(200 if ok else 204)
             q += step if ok else 0
             depth.append(q)
-        if len(pdf):
-            key = (channel[-1], part[-1])
-            yield pdf[["event_id", "channel", "method"]].assign(status=status, q=depth)
+        yield pdf[["event_id", "channel", "method"]].assign(status=status, q=depth)
 
 
 def _slice_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relaylog.functions.scalars import parse_period
-from relaylog.operators.slices import Slicing, add_slice, epoch_seconds, running
+from relaylog.operators.slices import Slicing, add_slice, epoch_seconds, running, spread
 from relaylog.schema import ALLOWED, METHODS
 
 # What each method does to a queue.
@@ -94,7 +94,10 @@ def endpoint_down(messages: DataFrame, active: Column | str = "active") -> DataF
 
 
 def with_channel_config(messages: DataFrame, channels: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
-    """Attach the channel's settings; the table is broadcast only when it has few rows."""
+    """Attach the channel's settings; the table is broadcast only when it has few rows.
+
+    A larger table is joined by shuffle, after which sliced rows are spread over their slices again.
+    """
     if len(channels.select("channel").take(max_broadcast + 1)) <= max_broadcast:
-        channels = F.broadcast(channels)
-    return messages.join(channels, "channel", "left")
+        return messages.join(F.broadcast(channels), "channel", "left")
+    return spread(messages.join(channels, "channel", "left"))

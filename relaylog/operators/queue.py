@@ -198,6 +198,7 @@ def queue_replay(messages: DataFrame) -> DataFrame:
     )
     return rows.withColumns({
         "status": status,
+        "cleared": F.coalesce("clears", F.lit(False)),
         "q": F.col("depth"),
         "pend": F.col("pops") - F.col("_cleared"),
         "msgs": F.col("puts") - F.col("_answered"),

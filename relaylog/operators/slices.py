@@ -80,11 +80,21 @@ def add_slice(df: DataFrame, slicing: Slicing | None) -> DataFrame:
         return df
     hot = F.broadcast(slicing.hot) if slicing.small else slicing.hot
     number = F.floor((_tick("ts", slicing.tick_seconds) - F.col("first_tick")) / F.col("width"))
-    return (
+    out = (
         df.join(hot, list(slicing.keys), "left")
         .withColumn("slice", F.coalesce(number, F.lit(-1)).cast("bigint"))
         .drop("first_tick", "width")
     )
+    return out if slicing.small else spread(out, slicing.keys)
+
+
+def spread(df: DataFrame, keys: Sequence[str] = ("channel",)) -> DataFrame:
+    """Partition sliced rows by ``(keys, slice)``.
+
+    Needed after a shuffle join on the keys alone: Spark would take that partitioning as good
+    enough for a window over ``(keys, slice)`` and leave a hot key in one task.
+    """
+    return df.repartition(*keys, "slice") if is_sliced(df) else df
 
 
 def is_sliced(df: DataFrame) -> bool:

@@ -72,3 +72,86 @@ def with_forward(log: DataFrame) -> DataFrame:
 
 def log(spark: SparkSession, sf_dir: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     return with_forward(messages(spark, sf_dir, rows_per_slice))
+
+
+def retransmits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages whose uid repeats: a channel reuses one uid per value of ``k``."""
+    rows = to_messages(table(spark, sf_dir, "events"))
+    return rows.withColumn("uid", F.shiftleft(F.col("channel"), 32).bitwiseOR(F.col("k").cast("bigint")))
+
+
+def channel_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of every channel that occurs in the log."""
+    channel = F.col("channel")
+    return (
+        table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("channel")).agg(F.lit(3).cast("bigint").alias("limit_size"))
+        .withColumns({
+            "limit_tasks": F.when(channel % 5 == 0, 0).otherwise(1 + channel % 3).cast("bigint"),
+            "limit_period": F.when(channel % 4 == 0, "24h").when(channel % 4 == 1, "48h 30m")
+            .when(channel % 4 == 2, "0s").otherwise("72h 1m 5s"),
+            "max_requests": 1 + channel % 3,
+            "active": channel % 7 != 0,
+            "mq_class": F.when(channel % 3 == 0, "SyncSAPI").otherwise("SyncQueue"),
+        })
+    )
+
+
+def raw_http(events: DataFrame) -> DataFrame:
+    """Events as captured requests, some of them malformed."""
+    kind = F.col("event_type")
+    verb = (
+        F.when(kind == "signup", "PUT").when(kind == "purchase", "put").when(kind == "click", "GET")
+        .when(kind == "view", "BREW").otherwise("POST")
+    )
+    blank = F.when((kind == "error") & (F.col("event_id") % 5 == 0), "").otherwise("\r\n")
+    raw = F.concat(
+        verb, F.lit(" /ch/"), F.col("user_id").cast("string"), F.lit("?k=1 HTTP/1.1\r\nHost: a.example\r\n"),
+        F.lit("content-type: application/json\r\nX-Msg-Forward-Uid: "), F.col("event_id").cast("string"),
+        F.lit("\r\n"), blank, F.col("props"),
+    )
+    return events.select("event_id", F.col("user_id").alias("channel"), raw.alias("raw"))
+
+
+def page_http(pages: DataFrame) -> DataFrame:
+    """Pages as captured GET requests with the page text as body."""
+    target = F.regexp_extract("url", r"^[a-z]+://[^/?#]+([^#]*)", 1)
+    raw = F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1\nHost: a.example\n\n"), F.col("html"))
+    return pages.select(F.col("page_id").alias("event_id"), F.lit(0).cast("bigint").alias("channel"), raw.alias("raw"))
+
+
+LISTENERS = [("main", "1M", "8K"), ("edge", "108B", "102")]
+
+ROUTES = [
+    ("en-all", "/en/*/"), ("en-35", "/en/35/"), ("fr-seg", "/fr/?/"),
+    ("de-83", "/de/83/"), ("es-root", "/es/"), ("any", "/*/"),
+]
+
+
+def routes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ROUTES, "channel string, pattern string")
+
+
+def customer_channels(customers: DataFrame) -> DataFrame:
+    """One channel declaration per customer, covering every accept and reject case."""
+    n, key = F.col("c_custkey") % 9, F.col("c_custkey").cast("string")
+    endpoint = (
+        F.when(n == 0, F.concat(F.lit("sync-queue://sms-"), key, F.lit("/*/")))
+        .when(n == 1, F.concat(F.lit("sync-queue://orders-"), key))
+        .when(n == 2, F.concat(F.lit("sync-sapi://script-"), key, F.lit("/")))
+        .when(n == 3, "nonsense")
+        .when(n == 4, "async2://x/")
+        .when(n == 5, F.concat(F.lit("sync-queue://x-"), key, F.lit("/")))
+        .when(n == 6, "sync-sapi://x/")
+        .when(n == 7, "sync-sapi://y/")
+        .otherwise(F.concat(F.lit("sync-queue://a?"), key, F.lit("/")))
+    )
+    sapi = F.when(n == 2, "python://h/a.py").when(n == 5, "lua://a.lua").when(n == 7, "python:/h.py")
+    return customers.select(F.col("c_name").alias("channel"), endpoint.alias("endpoint"), sapi.alias("sapi"))
+
+
+def daily_probes(log_rows: DataFrame) -> DataFrame:
+    """Every channel at every midnight of the log's month."""
+    grid = F.sequence(
+        F.lit("2024-01-02").cast("timestamp_ntz"), F.lit("2024-01-31").cast("timestamp_ntz"), F.expr("interval 1 day")
+    )
+    return log_rows.groupBy("channel").agg(F.lit(1).alias("_")).select("channel", F.explode(grid).alias("probe_ts"))

@@ -1,0 +1,61 @@
+"""Queue state to a table and back, so that a replay can resume where another stopped."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from relaylog.operators.slices import is_sliced
+
+KINDS = ("locked", "waiting", "message")
+
+
+def take_snapshot(trace: DataFrame) -> DataFrame:
+    """State after the traced log: rows ``queue, kind, seq, uid``.
+
+    ``waiting`` are PUTs not yet taken, ``message`` those not yet answered, ``locked`` those taken
+    and never cleared (including those taken after their answer).
+    """
+    taken = F.col("get_id").isNotNull()
+    answered = F.col("post_id").isNotNull()
+    kinds = F.array_compact(F.array(
+        F.when(taken & (~answered | (F.col("get_status") == 503)), "locked"),
+        F.when(~taken, "waiting"),
+        F.when(~answered, "message"),
+    ))
+    return trace.select(F.col("channel").alias("queue"), F.explode(kinds).alias("kind"), "seq", "uid")
+
+
+def restore_operations(snapshot: DataFrame, before: str) -> DataFrame:
+    """Operations that bring an empty queue into the state of a snapshot.
+
+    They carry negative event ids in order, dated just before ``before``, and rebuild first the
+    locked, then the waiting messages.
+    """
+    state = snapshot.groupBy("queue", "seq", "uid").agg(
+        *[F.max((F.col("kind") == k).cast("int")).alias(k) for k in KINDS]
+    )
+    put, get, post = (F.struct(F.lit(o).alias("rank"), F.lit(m).alias("method")) for o, m in ((0, "PUT"), (2, "GET"), (1, "POST")))
+    held, locked = F.col("message") == 1, F.col("locked") == 1
+    ops = F.array_compact(F.array(put, F.when(~held, post), F.when(locked, get)))
+    rows = state.select("queue", "seq", "uid", (1 - F.col("locked")).alias("phase"), F.explode(ops).alias("op"))
+    # Locked messages precede waiting ones in the queue, so sequence order serves both.
+    order = F.col("phase") * (1 << 60) + F.col("seq") * 4 + F.col("op.rank")
+    return rows.select(
+        (order - F.lit(1 << 62).cast("bigint")).alias("event_id"),
+        (F.lit(before).cast("timestamp_ntz") - F.expr("interval 1 microsecond")).alias("ts"),
+        F.col("queue").alias("channel"),
+        F.col("op.method").alias("method"),
+        F.lit(0).alias("k"),
+        F.when(F.col("op.method") == "PUT", F.col("uid")).alias("uid"),
+        F.when(F.col("op.method") == "POST", F.col("uid").cast("string")).alias("fwd"),
+    )
+
+
+def resume_log(snapshot: DataFrame, rest: DataFrame, before: str) -> DataFrame:
+    """Log to replay from a snapshot; rows with negative ids belong to the restored state."""
+    ops = restore_operations(snapshot, before)
+    columns = [c for c in rest.columns if c in ops.columns]
+    if is_sliced(rest):
+        raise ValueError("attach slices after the snapshot, so that restored rows get one too")
+    return ops.select(*columns).unionByName(rest.select(*columns))
