@@ -135,6 +135,12 @@ step as (
 select event_id, channel, method, status, q from step where n > 0
 """
 
+_DAILY = f"""
+with {_MESSAGES}, d as (select date_trunc('day', ts) as start, channel, method from m)
+select epoch_us(start) as start_us, epoch_us(start + interval 1 day) as end_us, channel, method, count(*) as requests
+from d group by all
+"""
+
 _LATENCY = ", ".join(
     f"count({s}) as {s}_n, min({s}) as {s}_min, max({s}) as {s}_max, cast(sum({s}) as bigint) as {s}_sum, "
     f"quantile_disc({s}, 0.5) as {s}_p50, quantile_disc({s}, 0.95) as {s}_p95"
@@ -371,4 +377,30 @@ ORACLE: dict[str, str] = {
         select event_id, channel, mq_class, method,
           case when mq_class = 'SyncQueue' then status when method = 'PUT' then 200 else 405 end as status
         from replay join cfg using (channel)""",
+    "stream_messages": f"with {_MESSAGES} select event_id, channel, method, k, uid from m",
+    "stream_route": f"with {_ROUTES} select page_id, path, route, status from matched",
+    "stream_queue": _REPLAY,
+    "stream_dedupe": f"with {_MESSAGES} select distinct (channel << 32) | k as uid, channel, k from m",
+    "stream_correlate": f"""
+        with {_LOG} select p.channel as put_channel, p.put_id, p.uid as put_uid, f.event_id as post_id
+        from p left join f on f.method = 'POST' and f.channel = p.channel and f.fwd = cast(p.uid as varchar)
+          and f.ts >= p.put_ts and f.ts <= p.put_ts + interval 3 day""",
+    "stream_monitor": _DAILY,
+    "stream_monitor_sliding": f"""
+        with {_MESSAGES}, d as (
+          select date_trunc('day', ts) as start, channel, method from m
+          union all select date_trunc('day', ts) - interval 1 day, channel, method from m)
+        select epoch_us(start) as start_us, epoch_us(start + interval 2 day) as end_us, channel, method, count(*) as requests
+        from d group by all""",
+    "stream_sessions": f"""
+        with {_MESSAGES},
+        x as (select channel, ts, case when ts - lag(ts) over o >= interval 12 hour then 1 else 0 end as fresh
+          from m window o as (partition by channel order by ts)),
+        y as (select channel, ts, sum(fresh) over (partition by channel order by ts) as no from x)
+        select epoch_us(min(ts)) as start_us, epoch_us(max(ts) + interval 12 hour) as end_us, channel, count(*) as requests
+        from y group by channel, no""",
+    "stream_replies": f"""
+        with {_RAW} select event_id, case when code = 0 then 'accepted' else 'quarantined' end as lane, code, method,
+          case when code = 0 then split_part(target, '?', 1) end as uri from parsed""",
+    "stream_restart": _DAILY,
 }
