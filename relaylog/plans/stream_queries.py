@@ -27,7 +27,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sentinel(spark: SparkSession) -> DataFrame:
     """Far-future rows on a channel of their own; they move the watermark past all data.
 
-    One PUT and one POST, because Spark runs a method filter before it takes the watermark.
+    One PUT and one POST with a uid of its own, because Spark runs a method filter and the
+    not-null test of a join key before it takes the watermark.
     """
     return spark.range(2).select(
         (-1 - F.col("id")).alias("event_id"),
@@ -36,7 +37,7 @@ def _sentinel(spark: SparkSession) -> DataFrame:
         F.when(F.col("id") == 0, "PUT").otherwise("POST").alias("method"),
         F.lit(0).alias("k"),
         (-1 - F.col("id")).alias("uid"),
-        F.lit(None).cast("string").alias("fwd"),
+        F.lit("-9").alias("fwd"),
     )
 
 
