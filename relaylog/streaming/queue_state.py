@@ -2,7 +2,8 @@
 
 Micro-batches bring rows in any order. Rows wait in a buffer until the watermark has passed
 them, then run in ``(ts, event_id)`` order. Each operation touches a constant number of state
-entries, so a long backlog costs no more than a short one.
+entries, so a long backlog costs no more than a short one; entries made and used up within one
+run never reach the store.
 """
 
 from __future__ import annotations
@@ -75,38 +76,57 @@ class QueueProcessor(StatefulProcessor):
 
     def _run(self, channel: int, rows: list) -> pd.DataFrame:
         head, tail, pend, msgs = self.counts.get() or (0, 0, 0, 0)
+        line: dict[int, int] = {}
+        held: dict[int, bool | None] = {}
+
+        def taken(uid: int) -> bool | None:
+            """Flag of an unanswered message, None when there is no such message."""
+            if uid not in held:
+                known = msgs > 0 and self.held.containsKey((uid,))
+                held[uid] = self.held.getValue((uid,))[0] if known else None
+            return held[uid]
+
         out = []
         for event_id, _, method, uid, target, bad in rows:
             status = 200
             if method == "PUT":
-                self.line.updateValue((tail,), (uid,))
-                self.held.updateValue((uid,), (False,))
+                line[tail], held[uid] = uid, False
                 tail, msgs, status = tail + 1, msgs + 1, 202
             elif method == "GET":
                 if head == tail:
                     status = 204
                 else:
-                    front = self.line.getValue((head,))
-                    self.line.removeKey((head,))
-                    head, pend = head + 1, pend + 1
-                    if self.held.containsKey(front):
-                        self.held.updateValue(front, (True,))
+                    if head in line:
+                        front = line.pop(head)
                     else:
+                        front = self.line.getValue((head,))[0]
+                        self.line.removeKey((head,))
+                    head, pend = head + 1, pend + 1
+                    if taken(front) is None:
                         status = 503
+                    else:
+                        held[front] = True
             elif method == "POST":
                 if bad:
                     status = 400
-                elif not self.held.containsKey((target,)):
+                elif taken(target) is None:
                     status = 300
                 else:
-                    pend -= self.held.getValue((target,))[0]
-                    self.held.removeKey((target,))
+                    pend -= taken(target)
+                    held[target] = None
                     msgs -= 1
             elif method == "HEAD":
                 status = 200 if head < tail else 204
             elif method != "OPTIONS":
                 status = 405
             out.append((event_id, channel, method, status, tail - head, pend, msgs))
+        for place, uid in line.items():
+            self.line.updateValue((place,), (uid,))
+        for uid, flag in held.items():
+            if flag is not None:
+                self.held.updateValue((uid,), (flag,))
+            elif uid >= 0 and self.held.containsKey((uid,)):
+                self.held.removeKey((uid,))
         self.counts.update((head, tail, int(pend), msgs))
         return pd.DataFrame(out, columns=["event_id", "channel", "method", "status", "q", "pend", "msgs"])
 
