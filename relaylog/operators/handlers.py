@@ -1,7 +1,8 @@
 """User-written message handlers and queue classes, by name.
 
-A handler takes a batch of messages as a pandas DataFrame and returns one reply text per row.
-When a batch fails, its messages are tried one by one, so an error costs one message (503).
+A handler takes a batch of messages as a pandas DataFrame and returns one reply text per row,
+or None for a message it cannot serve (503). When it raises, the batch is halved until the
+failing messages are alone, so an error costs one message and not its batch.
 """
 
 from __future__ import annotations
@@ -31,18 +32,15 @@ def register_queue_class(name: str, replay: Callable[[DataFrame], DataFrame]) ->
     _queue_classes[name] = replay
 
 
-def _answer(handler: Handler, batch: pd.DataFrame) -> tuple[list, list]:
+def _answer(handler: Handler, batch: pd.DataFrame) -> pd.Series:
     try:
-        return [200] * len(batch), list(handler(batch))
+        replies = handler(batch)
     except Exception:
-        if len(batch) == 1:
-            return [503], [ERROR_TEXT]
-    codes, bodies = [], []
-    for i in range(len(batch)):
-        code, body = _answer(handler, batch.iloc[[i]])
-        codes += code
-        bodies += body
-    return codes, bodies
+        if len(batch) <= 1:
+            return pd.Series([None] * len(batch), index=batch.index, dtype=object)
+        half = len(batch) // 2
+        return pd.concat([_answer(handler, batch.iloc[:half]), _answer(handler, batch.iloc[half:])])
+    return pd.Series(replies, index=batch.index).astype(object)
 
 
 def apply_handler(messages: DataFrame, handler: Handler | str) -> DataFrame:
@@ -51,8 +49,9 @@ def apply_handler(messages: DataFrame, handler: Handler | str) -> DataFrame:
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            codes, bodies = _answer(run, batch)
-            yield batch.assign(status=codes, reply=bodies)
+            replies = _answer(run, batch)
+            served = replies.notna()
+            yield batch.assign(status=served.map({True: 200, False: 503}), reply=replies.where(served, ERROR_TEXT))
 
     schema = T.StructType([*messages.schema.fields, T.StructField("status", T.IntegerType()),
                            T.StructField("reply", T.StringType())])

@@ -7,6 +7,7 @@ query string is split from the uri.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,66 +30,85 @@ def parse_requests(
     header_limit: Column | int = DEFAULT_HEADER_LIMIT,
     read_error: Column | None = None,
 ) -> DataFrame:
-    """Add ``code, method, uri, params, headers, body`` for the capture text in ``raw``.
+    """Add ``code, method, uri, params, head, body`` for the capture text in ``raw``.
 
     Limits count bytes: the head has to end within both limits and the whole request is cut at
-    ``query_limit``.
+    ``query_limit``. Look headers up in ``head`` with ``header`` or list them with ``headers``.
     """
     text = F.col(raw)
     query_limit = (F.lit(query_limit) if isinstance(query_limit, int) else query_limit).cast("int")
     header_limit = (F.lit(header_limit) if isinstance(header_limit, int) else header_limit).cast("int")
 
     method = F.upper(F.regexp_extract(text, "^(?i)(" + "|".join(METHODS) + ") ", 1))
-    crlf, lf = F.instr(text, "\r\n\r\n"), F.instr(text, "\n\n")
-    crlf_first = (crlf > 0) & ((lf == 0) | (crlf < lf))
-    head_chars = F.when(crlf_first, crlf + 3).when(lf > 0, lf + 1).otherwise(0)
-    rows = captures.withColumns({"_method": method, "_head_chars": head_chars})
-    rows = rows.withColumn("_head", F.substring(text, F.lit(1), F.col("_head_chars")))
+    rows = captures.withColumns({
+        "_method": method,
+        "_target": F.regexp_extract(text, r"^\S+ ([^ \t\r\n]*)", 1),
+        "_end": F.regexp_instr(text, F.lit("\r\n\r\n|\n\n")),
+    })
+    separator = F.when(F.substring(text, F.col("_end"), F.lit(1)) == "\r", 4).otherwise(2)
+    rows = rows.withColumn("_head", F.substring(text, F.lit(1), F.col("_end") + separator - 1))
     rows = rows.withColumn("_head_bytes", F.octet_length("_head"))
 
-    target = F.regexp_extract(text, r"^\S+ ([^ \t\r\n]*)", 1)
-    ended = (F.col("_head_chars") > 0) & (F.col("_head_bytes") <= F.least(query_limit, header_limit))
+    ended = (F.col("_end") > 0) & (F.col("_head_bytes") <= F.least(query_limit, header_limit))
     code = (
         F.when(text.isNull() | (text == ""), 400)
         .when(F.col("_method") == "", 405)
-        .when(F.instr(text, "\n") == 0, 431)
-        .when(target == "", 400)
+        .when((F.col("_end") == 0) & (F.instr(text, "\n") == 0), 431)
+        .when(F.col("_target") == "", 400)
         .when(~ended, 431)
         .otherwise(0)
     )
     if read_error is not None:
         code = F.when(read_error, 408).otherwise(code)
-    lines = F.split(F.col("_head"), "\r?\n")
-    named = F.filter(F.slice(lines, 2, F.size(lines)), lambda line: line.rlike(r"^[^: ]+:"))
-    headers = F.transform(named, lambda line: F.struct(
-        F.substring_index(line, ":", 1).alias("name"),
-        F.btrim(F.substring(line, F.instr(line, ":") + 1, F.length(line)), F.lit(_BLANKS)).alias("value"),
-    ))
-    body = F.substring(text.cast("binary"), F.col("_head_bytes") + 1, query_limit - F.col("_head_bytes"))
     rows = rows.withColumn("code", code)
     ok = F.col("code") == 0
+    target = F.col("_target")
+    body = F.substring(text.cast("binary"), F.col("_head_bytes") + 1, query_limit - F.col("_head_bytes"))
     return rows.withColumns({
         "method": F.when(F.col("_method") != "", F.col("_method")),
         "uri": F.when(ok, F.substring_index(target, "?", 1)),
         "params": F.when(ok & (F.instr(target, "?") > 0), F.substring(target, F.instr(target, "?") + 1, F.length(target))),
-        "headers": F.when(ok, headers),
+        "head": F.when(ok, F.col("_head")),
         "body": F.when(ok, body),
-    }).drop("_method", "_head_chars", "_head", "_head_bytes")
+    }).drop("_method", "_target", "_end", "_head", "_head_bytes")
+
+
+def headers(head: Column | str = "head") -> Column:
+    """All headers in order as an array of ``(name, value)``."""
+    head = F.col(head) if isinstance(head, str) else head
+    named = F.filter(F.split(head, "\r?\n"), lambda line: line.rlike(r"^[^: ]+:"))
+    return F.transform(named, lambda line: F.struct(
+        F.substring_index(line, ":", 1).alias("name"),
+        F.btrim(F.substring(line, F.instr(line, ":") + 1, F.length(line)), F.lit(_BLANKS)).alias("value"),
+    ))
 
 
-def header(headers: Column | str, name: str, default: str | None = None) -> Column:
-    """Case-insensitive header lookup, the first of several equal names wins."""
-    headers = F.col(headers) if isinstance(headers, str) else headers
-    found = F.filter(headers, lambda h: F.lower(h["name"]) == name.lower())
-    return F.coalesce(F.get(found, 0)["value"], F.lit(default))
+def header(name: str, default: str | None = None, head: Column | str = "head") -> Column:
+    """Case-insensitive header lookup, the first of several equal names wins.
+
+    One pass over the head text; listing all headers first would be repeated per lookup.
+    """
+    head = F.col(head) if isinstance(head, str) else head
+    pattern = rf"(?im)^{re.escape(name)}:[ \t]*([^\r\n]*?)[ \t]*\r?$"
+    value = F.regexp_extract(head, pattern, 1)
+    return F.when(value != "", value).when(head.rlike(pattern), "").otherwise(F.lit(default))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("code") == 0)
+    return _parsed_once(parsed).filter(F.col("code") == 0)
 
 
 def quarantined(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("code") != 0)
+    return _parsed_once(parsed).filter(F.col("code") != 0)
+
+
+def _parsed_once(parsed: DataFrame) -> DataFrame:
+    """Keep a filter on ``code`` above the parsing.
+
+    Spark would push it down and parse again for every use of the code; it does not push a
+    filter through a generator, here one that yields the code itself.
+    """
+    return parsed.withColumn("code", F.explode(F.array("code")))
 
 
 def url_path(url: Column | str) -> Column:
