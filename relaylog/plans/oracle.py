@@ -231,7 +231,7 @@ ORACLE: dict[str, str] = {
         from d""",
     "msg_uid": f"""
         with {_MESSAGES} select event_id, uid as given_uid,
-          (cast(sec as bigint) << 32) | (row_number() over (order by ts, event_id) - 1) as counted_uid from m""",
+          (cast(sec as bigint) << 32) | (row_number() over (partition by channel % 4 order by ts, event_id) - 1) as counted_uid from m""",
     "msg_uid_decode": f"with {_MESSAGES} select event_id, cast(sec as bigint) as second, event_id as counter from m",
     "quarantine": f"with {_RAW} select event_id, code, method, length(raw) as raw_chars from parsed where code <> 0",
     "header_lookup": f"""

@@ -121,8 +121,8 @@ def channel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def msg_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uids from given ids, and uids counted in arrival order within the one process."""
-    rows = fx.table(spark, sf_dir, "events").select("event_id", "ts", F.lit(1).alias("process"))
+    """Uids from given ids, and uids counted in arrival order within each of four processes."""
+    rows = fx.table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 4).alias("process"))
     rows = add_slice(rows, plan_slices(rows, keys=("process",)))
     counted = ids.assign_uids(rows)
     return counted.select(
