@@ -380,6 +380,7 @@ ORACLE: dict[str, str] = {
     "stream_messages": f"with {_MESSAGES} select event_id, channel, method, k, uid from m",
     "stream_route": f"with {_ROUTES} select page_id, path, route, status from matched",
     "stream_queue": _REPLAY,
+    "stream_queue_batches": _REPLAY,
     "stream_dedupe": f"with {_MESSAGES} select distinct (channel << 32) | k as uid, channel, k from m",
     "stream_correlate": f"""
         with {_LOG} select p.channel as put_channel, p.put_id, p.uid as put_uid, f.event_id as post_id

@@ -12,6 +12,7 @@ from relaylog.session import new_folder
 from relaylog.sources import capture
 from relaylog.sources.messages import stream_messages as read_stream
 from relaylog.streaming import jobs
+from relaylog.streaming.queue_batches import queue_batches
 from relaylog.streaming.queue_state import stream_queue as run_queue
 
 SENTINEL_CHANNEL = -1
@@ -92,6 +93,18 @@ def stream_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.filter(F.col("channel") != SENTINEL_CHANNEL).select("event_id", "method", "status", "q", "pend", "msgs")
 
 
+@query
+def stream_queue_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same replay as a chain of sliced batch replays with the state in a table."""
+    folder = _staged(spark, fx.with_forward(_plain(spark, sf_dir)), files=8)
+    root = new_folder(spark, "queue-batches")
+    stream = read_stream(spark, folder, max_files=5)
+    step = queue_batches(root, SHUFFLED_DELAY)
+    jobs.start_batches(stream, step, new_folder(spark, "queue-batches-checkpoint"), once=True).awaitTermination()
+    done = spark.read.parquet(f"{root}/replay")
+    return done.filter(F.col("channel") != SENTINEL_CHANNEL).select("event_id", "method", "status", "q", "pend", "msgs")
+
+
 @query
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _staged(spark, fx.retransmits(spark, sf_dir), files=4)
@@ -129,7 +142,8 @@ def stream_monitor_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = read_stream(spark, _staged(spark, _plain(spark, sf_dir)))
-    return _windows(spark, jobs.stream_sessions(stream, "1 hour", "12 hours"), "sessions")
+    with jobs.merged_sessions(spark):
+        return _windows(spark, jobs.stream_sessions(stream, "1 hour", "12 hours"), "sessions")
 
 
 @query

@@ -7,7 +7,7 @@ it a timestamp with a watermark.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,12 +103,24 @@ def start_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL_INTERVAL)).start()
 
 
-@contextmanager
-def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+def rocksdb_state(spark: SparkSession) -> AbstractContextManager[None]:
     """Keyed state larger than memory; required by stateful processors."""
-    key = "spark.sql.streaming.stateStore.providerClass"
+    return _setting(
+        spark, "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
+def merged_sessions(spark: SparkSession) -> AbstractContextManager[None]:
+    """Merge sessions where rows are read, so that a busy channel shuffles sessions, not rows."""
+    return _setting(spark, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting while a query starts."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(key, value)
     try:
         yield
     finally:

@@ -1,10 +1,15 @@
+from datetime import timedelta
+
+import pytest
 from pyspark.sql import functions as F
 
 import model
 from relaylog.plans import stream_queries as sq
+from relaylog.schema import MESSAGE
 from relaylog.session import new_folder
 from relaylog.sources.messages import stream_messages
 from relaylog.streaming import jobs
+from relaylog.streaming.queue_batches import queue_batches
 from relaylog.streaming.queue_state import stream_queue
 from test_queue import frame
 
@@ -31,9 +36,14 @@ def test_queue_over_a_restart_equals_step_model(spark):
     assert sorted(tuple(r) for r in done.select("event_id", "status", "q", "pend", "msgs").collect()) == expected
 
 
+def spaced_log(seed, n):
+    """A random log without equal times, so that no row is as old as the watermark."""
+    return [(i, model.START + timedelta(seconds=i), *r[2:]) for i, r in enumerate(model.random_log(seed, n))]
+
+
 def test_state_is_kept_between_releases(spark):
     """A short delay and files in order release rows in several steps."""
-    rows = model.random_log(22, 300)
+    rows = spaced_log(22, 300)
     folder, out, state = (new_folder(spark, n) for n in ("in", "out", "state"))
     log = frame(spark, rows)
     for start in range(0, 300, 100):
@@ -43,8 +53,23 @@ def test_state_is_kept_between_releases(spark):
     run(spark, folder, out, state, "0 seconds")
     done = spark.read.parquet(out).filter("channel >= 0")
     got = sorted(tuple(r) for r in done.select("event_id", "status", "q", "pend", "msgs").collect())
-    late = {i for i, r in enumerate(rows) if i in (100, 200) and r[1] == rows[i - 1][1]}
-    assert late or got == sorted(model.replay(rows))
+    assert got == sorted(model.replay(rows))
+
+
+@pytest.mark.parametrize("rows_per_slice", [4_000_000, 15])
+def test_batch_chain_equals_step_model(spark, rows_per_slice):
+    rows = spaced_log(23, 300)
+    log = frame(spark, rows).select(*[f.name for f in MESSAGE.fields])
+    root = new_folder(spark, "chain")
+    step = queue_batches(root, "40 seconds", rows_per_slice)
+    parts = [(0, 99, 0), (100, 199, 1), (100, 199, 1), (200, 299, 2)]
+    for low, high, batch_id in parts:
+        step(log.filter(F.col("event_id").between(low, high)), batch_id)
+    step(log.filter("event_id = 3").union(sq._sentinel(spark).select(*log.columns)), 3)
+    done = spark.read.parquet(f"{root}/replay").filter("channel >= 0")
+    got = sorted(tuple(r) for r in done.select("event_id", "status", "q", "pend", "msgs").collect())
+    assert got == sorted(model.replay(rows))
+    assert [r.event_id for r in spark.read.parquet(f"{root}/late").collect()] == [3]
 
 
 def test_replies_are_written_once_per_batch(spark, tmp_path):
