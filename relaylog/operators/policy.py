@@ -49,16 +49,16 @@ def method_dispatch(method: Column | str = "method") -> Column:
 def rate_limit(messages: DataFrame) -> DataFrame:
     """Number each request within its channel's period and flag those over ``max_requests``.
 
-    Rows carry ``limit_period`` (text) and ``max_requests``; a period of 0 means no limit. Counts
-    run per ``(channel, period number)`` and, for hot channels, in slices.
+    Rows carry ``limit_seconds`` and ``max_requests``; a period of 0 means no limit. Counts run
+    per ``(channel, period number)`` and, for hot channels, in slices.
     """
-    seconds = parse_period("limit_period")
-    rows = messages.withColumn("_seconds", seconds).withColumn(
-        "bucket", F.when(F.col("_seconds") > 0, F.floor(epoch_seconds("ts") / F.col("_seconds"))).cast("bigint")
+    seconds = F.col("limit_seconds")
+    rows = messages.withColumn(
+        "bucket", F.when(seconds > 0, F.floor(epoch_seconds("ts") / seconds)).cast("bigint")
     )
     rows = running(rows, {"request_no": F.lit(1)}, keys=("channel", "bucket"))
     over = F.coalesce(F.col("bucket").isNotNull() & (F.col("request_no") > F.col("max_requests")), F.lit(False))
-    return rows.withColumn("over_limit", over).drop("_seconds")
+    return rows.withColumn("over_limit", over)
 
 
 def sweep(intervals: DataFrame, slicing: Slicing | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -97,7 +97,10 @@ def with_channel_config(messages: DataFrame, channels: DataFrame, max_broadcast:
     """Attach the channel's settings; the table is broadcast only when it has few rows.
 
     A larger table is joined by shuffle, after which sliced rows are spread over their slices again.
+    A period text is turned into seconds here, once per channel and not per message.
     """
+    if "limit_period" in channels.columns:
+        channels = channels.withColumn("limit_seconds", parse_period("limit_period")).drop("limit_period")
     if len(channels.select("channel").take(max_broadcast + 1)) <= max_broadcast:
         return messages.join(F.broadcast(channels), "channel", "left")
     return spread(messages.join(channels, "channel", "left"))

@@ -28,7 +28,7 @@ def test_by_class_covers_unknown_and_null(spark):
 
 def test_rate_limit_sliced_equals_plain(spark):
     df = frame(spark, model.random_log(3, 500)).withColumns(
-        {"limit_period": F.lit("1h"), "max_requests": F.lit(5)}
+        {"limit_seconds": F.lit(3600), "max_requests": F.lit(5)}
     )
     plain = policy.rate_limit(df).select("event_id", "bucket", "request_no", "over_limit")
     cut = policy.rate_limit(add_slice(df, plan_slices(df, rows_per_slice=30))).select(*plain.columns)
