@@ -80,37 +80,41 @@ def _winning_posts(walk: DataFrame) -> DataFrame:
     ).drop("_uid", "_own", "_put_pos", "_put_seq", "_first")
 
 
-def _winning_posts_sliced(walk: DataFrame) -> DataFrame:
-    """Same as ``_winning_posts`` for logs with hot channels.
+def _first_replies(walk: DataFrame) -> DataFrame:
+    """The answering POST of each answered PUT, for logs with hot channels: ``channel, seq`` and
+    the POST's ``slice, pos, event_id, ts``.
 
     A uid may be named by any number of POSTs, so the PUT is looked up by an equi join, in
     which adaptive execution splits a hot uid, and the first reply is a pre-aggregated minimum.
     """
     puts = walk.filter(_is("PUT")).select(
-        "channel", F.col("uid").alias("_uid"), F.col("pos").alias("_put_pos"), F.col("puts").alias("_put_seq")
+        "channel", F.col("uid").alias("_uid"), F.col("pos").alias("_put_pos"), F.col("puts").alias("seq")
     )
     posts = walk.filter(_is("POST") & forward_uid().isNotNull()).select(
-        "channel", forward_uid().alias("_uid"), "pos"
+        "channel", forward_uid().alias("_uid"), "slice", "pos", "event_id", "ts"
     )
-    first = (
+    return (
         posts.join(puts, ["channel", "_uid"])
         .filter(F.col("pos") > F.col("_put_pos"))
-        .groupBy("channel", "_put_seq")
-        .agg(F.min("pos").alias("pos"))
-        .select("channel", "pos", F.col("_put_seq").alias("reply_seq"))
+        .groupBy("channel", "seq")
+        .agg(F.min("pos").alias("pos"), *[F.min_by(c, "pos").alias(c) for c in ("slice", "event_id", "ts")])
     )
-    return walk.join(first, ["channel", "pos"], "left")
+
+
+def _own_seq() -> Column:
+    return F.when(_is("PUT"), F.col("puts")).when(F.col("popped"), F.col("pops"))
 
 
 def linked(messages: DataFrame) -> DataFrame:
     """The depth walk with ``reply_seq`` and ``seq``, the PUT number each row belongs to."""
     walk = queue_depth(messages)
     if is_sliced(messages):
-        walk = _winning_posts_sliced(materialise(walk, "walk"))
+        walk = materialise(walk, "walk")
+        first = _first_replies(walk).select("channel", "pos", F.col("seq").alias("reply_seq"))
+        walk = walk.join(first, ["channel", "pos"], "left")
     else:
         walk = _winning_posts(walk)
-    seq = F.when(_is("PUT"), F.col("puts")).when(F.col("popped"), F.col("pops")).otherwise(F.col("reply_seq"))
-    return walk.withColumn("seq", seq)
+    return walk.withColumn("seq", F.coalesce(_own_seq(), "reply_seq"))
 
 
 def message_trace(messages: DataFrame) -> DataFrame:
@@ -118,7 +122,17 @@ def message_trace(messages: DataFrame) -> DataFrame:
 
     ``get_status`` is 200, or 503 when the message had been answered before it was taken.
     """
-    return _trace(linked(messages))
+    if not is_sliced(messages):
+        return _trace(linked(messages))
+    walk = materialise(queue_depth(messages), "walk")
+    replies = _first_replies(walk).select(
+        "channel", "seq", F.lit("POST").alias("method"), "event_id", "ts", "pos", F.lit(False).alias("popped"),
+        F.col("seq").alias("reply_seq"),
+    )
+    rows = walk.withColumn("seq", _own_seq()).select(
+        "channel", "seq", "method", "event_id", "ts", "pos", "popped", "uid", "k"
+    )
+    return _trace(rows.unionByName(replies, allowMissingColumns=True))
 
 
 def _trace(rows: DataFrame) -> DataFrame:
@@ -146,23 +160,9 @@ def _trace(rows: DataFrame) -> DataFrame:
 
 def _annotated(messages: DataFrame) -> DataFrame:
     """Every row with the outcome of its link: ``late_pop`` and ``clears`` flags."""
-    rows = linked(messages)
     if is_sliced(messages):
-        # A (channel, seq) group has at most three rows that matter; the flags go back by position.
-        rows = materialise(rows, "linked")
-        trace = _trace(rows)
-        both = trace.filter(F.col("get_pos").isNotNull() & F.col("post_pos").isNotNull())
-        flags = both.select(
-            "channel",
-            F.explode(F.array(
-                F.struct(F.col("get_pos").alias("pos"), (F.col("get_status") == 503).alias("late_pop"),
-                         F.lit(False).alias("clears")),
-                F.struct(F.col("post_pos").alias("pos"), F.lit(False).alias("late_pop"),
-                         (F.col("get_status") == 200).alias("clears")),
-            )).alias("f"),
-        ).select("channel", "f.pos", "f.late_pop", "f.clears")
-        return rows.join(flags, ["channel", "pos"], "left")
-    rows = rows.withColumn("_own", F.when(F.col("seq").isNull(), F.col("pos")))
+        return _annotated_sliced(messages)
+    rows = linked(messages).withColumn("_own", F.when(F.col("seq").isNull(), F.col("pos")))
     group = Window.partitionBy("channel", "seq", "_own")
     get_pos = F.min(F.when(F.col("popped"), F.col("pos"))).over(group)
     post_pos = F.min(F.when(F.col("reply_seq").isNotNull(), F.col("pos"))).over(group)
@@ -173,6 +173,46 @@ def _annotated(messages: DataFrame) -> DataFrame:
     }).drop("_own", "_get", "_post")
 
 
+def _annotated_sliced(messages: DataFrame) -> DataFrame:
+    """The outcome of each link returns to its row as a note just before it in channel order.
+
+    Pairing uses only the rows that take part, and the whole log is shuffled once, for the
+    window in which every row picks up its note.
+    """
+    walk = materialise(queue_depth(messages), "walk")
+    taken = walk.filter(F.col("popped")).select(
+        "channel", F.col("pops").alias("seq"), F.col("pos").alias("_get"), F.col("slice").alias("_get_slice")
+    )
+    replied = _first_replies(walk).select(
+        "channel", "seq", F.col("pos").alias("_post"), F.col("slice").alias("_post_slice")
+    )
+    pairs = taken.unionByName(replied, allowMissingColumns=True).groupBy("channel", "seq").agg(
+        *[F.max(c).alias(c) for c in ("_get", "_get_slice", "_post", "_post_slice")]
+    ).filter(F.col("_post").isNotNull())
+    late = F.coalesce(F.col("_post") < F.col("_get"), F.lit(False))
+    clears = F.coalesce(F.col("_get") < F.col("_post"), F.lit(False))
+    none = F.lit(None).cast("bigint")
+
+    def note(part: str, pos: str, seq: Column, late_pop: Column, cleared: Column) -> Column:
+        return F.struct(F.col(part).alias("slice"), F.col(pos).alias("pos"), seq.alias("reply_seq"),
+                        late_pop.alias("late_pop"), cleared.alias("clears"))
+
+    notes = pairs.select("channel", F.explode(F.array_compact(F.array(
+        note("_post_slice", "_post", F.col("seq").cast("bigint"), F.lit(False), clears),
+        F.when(late, note("_get_slice", "_get", none, F.lit(True), F.lit(False))),
+    ))).alias("n")).select("channel", "n.*", F.lit(0).alias("_kind"))
+    rows = walk.withColumn("_kind", F.lit(1)).unionByName(notes, allowMissingColumns=True)
+    order = Window.partitionBy("channel", "slice").orderBy("pos", "_kind")
+    noted = F.lag("pos").over(order) == F.col("pos")
+    rows = rows.withColumns({
+        c: F.when(noted, F.lag(c).over(order)) for c in ("reply_seq", "late_pop", "clears")
+    })
+    return rows.filter(F.col("_kind") == 1).drop("_kind").withColumns({
+        "seq": F.coalesce(_own_seq(), "reply_seq"),
+        "late_pop": F.coalesce("late_pop", F.lit(False)),
+    })
+
+
 def queue_replay(messages: DataFrame) -> DataFrame:
     """Status and the three counters after every operation of an unbounded queue.
 
@@ -187,6 +227,7 @@ def queue_replay(messages: DataFrame) -> DataFrame:
             "_answered": F.when(answered, 1).otherwise(0),
             "_cleared": F.when(F.coalesce("clears", F.lit(False)), 1).otherwise(0),
         },
+        order=("pos",),
     )
     status = (
         F.when(_is("PUT"), 202)
