@@ -52,7 +52,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 status.append(200 if ok else 204)
             q += step if ok else 0
             depth.append(q)
-        yield pdf[["event_id", "channel", "method"]].assign(status=status, q=depth)
+        yield pdf[["event_id", "channel", "method", "_limit"]].assign(status=status, q=depth)
 
 
 def _slice_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +91,7 @@ def _slice_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def bounded_queue(messages: DataFrame) -> DataFrame:
     """Status (PUT 202/507, GET 200/204) and depth after every PUT and GET.
 
-    Rows carry ``limit_size`` (0 or null = no limit).
+    Rows carry ``limit_size`` (0 or null = no limit). A refusal names the limit in ``queue_limit``.
     """
     rows = _steps(messages)
     if is_sliced(messages):
@@ -105,6 +105,7 @@ def bounded_queue(messages: DataFrame) -> DataFrame:
         rows = rows.join(starts, ["channel", "slice"], "left").fillna(0, ["_start"])
     else:
         rows = rows.withColumn("_start", F.lit(0).cast("bigint"))
-    return _in_order(rows).mapInPandas(
-        _walk, "event_id long, channel long, method string, status int, q long"
+    walked = _in_order(rows).mapInPandas(
+        _walk, "event_id long, channel long, method string, _limit long, status int, q long"
     )
+    return walked.withColumn("queue_limit", F.when(F.col("status") == 507, F.col("_limit"))).drop("_limit")

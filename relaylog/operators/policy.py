@@ -101,6 +101,6 @@ def with_channel_config(messages: DataFrame, channels: DataFrame, max_broadcast:
     """
     if "limit_period" in channels.columns:
         channels = channels.withColumn("limit_seconds", parse_period("limit_period")).drop("limit_period")
-    if len(channels.select("channel").take(max_broadcast + 1)) <= max_broadcast:
+    if channels.select("channel").limit(max_broadcast + 1).count() <= max_broadcast:
         return messages.join(F.broadcast(channels), "channel", "left")
     return spread(messages.join(channels, "channel", "left"))

@@ -53,7 +53,7 @@ def route_match(messages: DataFrame, routes: DataFrame, path: str = "path") -> D
     """
     best_first = F.sort_array(F.collect_list(F.struct("spec", "channel", "rx")), asc=False)
     candidates = compile_routes(routes).groupBy("seg").agg(best_first.alias("candidates"))
-    if len(routes.select("channel").take(MAX_BROADCAST_ROUTES + 1)) <= MAX_BROADCAST_ROUTES:
+    if routes.select("channel").limit(MAX_BROADCAST_ROUTES + 1).count() <= MAX_BROADCAST_ROUTES:
         candidates = F.broadcast(candidates)
     joined = messages.withColumn("_seg", first_segment(path)).join(
         candidates.withColumnRenamed("seg", "_seg"), "_seg", "left"

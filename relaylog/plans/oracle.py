@@ -132,7 +132,7 @@ step as (
          else case when s.q > 0 then 200 else 204 end end,
     case when o.method = 'PUT' then least(3, s.q + 1) else greatest(0, s.q - 1) end
   from step s join ops o on o.channel = s.channel and o.n = s.n + 1)
-select event_id, channel, method, status, q from step where n > 0
+select event_id, channel, method, status, q, case when status = 507 then 3 end as queue_limit from step where n > 0
 """
 
 _DAILY = f"""

@@ -34,37 +34,37 @@ def queue_batches(
     applied) and ``state``, each by ``batch_id``.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state, pending, done = _read_state(spark, root, batch_id - 1)
-        target = f"{root}/state/batch_id={batch_id}"
-
-        rows = batch.select(*_COLUMNS)
-        behind = F.lit(False) if done is None else F.col("ts") <= F.lit(done).cast("timestamp_ntz")
-        rows.filter(behind).write.mode("overwrite").parquet(f"{root}/late/batch_id={batch_id}")
-        fresh = rows.filter(~behind)
-        rows = fresh if pending is None else fresh.unionByName(pending)
-
-        newest = rows.agg((F.max("ts") - F.expr(f"interval {delay}")).cast("string").alias("t")).first().t
-        horizon = max(filter(None, (newest, done)), default=None)
-        due = F.lit(False) if horizon is None else F.col("ts") <= F.lit(horizon).cast("timestamp_ntz")
-        rows.filter(~due).write.mode("overwrite").parquet(f"{target}/pending")
-        rows.filter(due).write.mode("overwrite").parquet(f"{target}/due")
-
-        ready = spark.read.schema(MESSAGE).parquet(f"{target}/due")
-        log = ready if state is None else resume_log(state, ready, done)
-        log.write.mode("overwrite").parquet(f"{target}/log")
-        log = spark.read.schema(MESSAGE).parquet(f"{target}/log")
+        state, pending, done = _read_state(batch.sparkSession, root, batch_id - 1)
+        batch = batch.select(*_COLUMNS).persist()
+        try:
+            behind = F.lit(False) if done is None else F.col("ts") <= F.lit(done).cast("timestamp_ntz")
+            _write(batch.filter(behind), f"{root}/late/batch_id={batch_id}")
+            rows = batch.filter(~behind)
+            if pending is not None:
+                rows = rows.unionByName(pending)
+            newest = rows.agg((F.max("ts") - F.expr(f"interval {delay}")).cast("string").alias("t")).first().t
+            horizon = max(filter(None, (newest, done)), default=None)
+            due = F.lit(False) if horizon is None else F.col("ts") <= F.lit(horizon).cast("timestamp_ntz")
+            target = f"{root}/state/batch_id={batch_id}"
+            _write(rows.filter(~due), f"{target}/pending")
+            log = rows.filter(due) if state is None else resume_log(state, rows.filter(due), done)
+            log = _write(log, f"{target}/log")
+        finally:
+            batch.unpersist()
         log = add_slice(log, plan_slices(log, rows_per_slice=rows_per_slice))
-        take_snapshot(message_trace(log)).write.mode("overwrite").parquet(f"{target}/snapshot")
+        _write(take_snapshot(message_trace(log)), f"{target}/snapshot")
         replay = queue_replay(log).filter(F.col("event_id") >= 0).select(*RESULT)
-        replay.write.mode("overwrite").parquet(f"{root}/replay/batch_id={batch_id}")
-        spark.range(1).select(F.lit(horizon).cast("string").alias("horizon")).write.mode("overwrite").parquet(
-            f"{target}/horizon"
-        )
+        _write(replay, f"{root}/replay/batch_id={batch_id}")
+        _write(log.sparkSession.range(1).select(F.lit(horizon).cast("string").alias("horizon")), f"{target}/horizon")
 
     return step
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _read_state(spark: SparkSession, root: str, batch_id: int) -> tuple[DataFrame | None, DataFrame | None, str | None]:
     if batch_id < 0:
         return None, None, None
