@@ -6,7 +6,8 @@ Order inside a channel is ``(ts, event_id)``.
 A queue is a walk: PUT adds one, GET takes one if there is one. The depth is the distance of
 the walk from its running minimum, the n-th successful GET takes the n-th PUT, and the first
 POST naming a PUT's uid after that PUT answers it. All of this is windows and equi-keyed
-grouping; ``(channel, seq)`` and ``(channel, uid)`` spread a busy channel over all tasks.
+grouping. Without slices one shuffle by channel serves them all; with slices ``(channel, seq)``
+and ``(channel, uid)`` spread a hot channel over all tasks.
 """
 
 from __future__ import annotations
