@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,25 +29,16 @@ def build_session(master: str | None = None, app: str = "relaylog", **conf: str)
 def work_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a new temporary folder is made and
-    recorded in the session, so that later calls use the same one.
+    Where the session names none, as in local tests, a folder inside the warehouse is used, which driver and
+    executors share by definition.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.conf.get("relaylog.work.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="relaylog-")
-        spark.conf.set("relaylog.work.dir", root)
-    return root
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_relaylog"
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder; Spark creates it on first write."""
-    return os.path.join(work_root(spark), f"{label}-{uuid.uuid4().hex}")
+    return f"{work_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
