@@ -83,7 +83,7 @@ QUERIES = {
     )
 }
 
-_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _OWN = "|".join(
     f"{before}{word}{after}"
     for word in ("casino", "poker", "pills", "porn", "xxx", "viagra", "warez", "torrent")
@@ -110,7 +110,7 @@ ORACLE = {
     "op5_quality_rules": f"""
         with split as (
             select doc_id, source as host, coalesce(text, '') as text, {_WORDS} as words,
-                list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
             from documents),
         windows as (
             select doc_id, i, row(words[i], words[i + 1], words[i + 2]) as w
