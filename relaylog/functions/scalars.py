@@ -68,7 +68,7 @@ def _quote(text: str) -> str:
 
 
 def parse_bytes(value: Column | str, default: Column | int) -> Column:
-    """``4K`` → 4096; the first number in the text counts, without one the default applies."""
+    """``4K`` → 4096; the first number in the text counts, without one, or beyond 64 bits, the default applies."""
     value = _col(value)
     pattern = r"(\d+)\s*(G|M|K|B)?"
     number = F.regexp_extract(value, pattern, 1).try_cast("bigint")
@@ -77,40 +77,49 @@ def parse_bytes(value: Column | str, default: Column | int) -> Column:
     for name, shift in BYTE_SHIFT.items():
         factor = F.when(unit == name, F.lit(1 << shift).cast("bigint")).otherwise(factor)
     default = F.lit(default) if isinstance(default, int) else default
-    return F.coalesce(number * factor, default.cast("bigint"))
+    return F.coalesce(F.try_multiply(number, factor), default.cast("bigint"))
 
 
 def parse_period(value: Column | str) -> Column:
-    """``1h 2m 3s`` → 3723 seconds; units in this order from the start of the text, else 0."""
+    """``1h 2m 3s`` → 3723 seconds; units in this order from the start of the text, else (or beyond 64 bits) 0."""
     value = _col(value)
     pattern = "^" + "".join(rf"(?:\s*(\d+)\s*{unit})?" for unit in PERIOD_UNITS)
     total = F.lit(0).cast("bigint")
     for group, seconds in enumerate(PERIOD_UNITS.values(), start=1):
         part = F.regexp_extract(value, pattern, group).try_cast("bigint")
-        total = total + F.coalesce(part, F.lit(0)) * seconds
-    return total
+        total = F.try_add(total, F.try_multiply(F.coalesce(part, F.lit(0).cast("bigint")), F.lit(seconds).cast("bigint")))
+    return F.coalesce(total, F.lit(0).cast("bigint"))
 
 
-def expand_ranges(value: Column | str) -> Column:
-    """``2,3-8`` → sorted distinct numbers; an open range ``5-`` means 5."""
-    value = _col(value)
+def range_bounds(value: Column | str) -> Column:
+    """``2,3-8`` → intervals ``(low, high)`` in the order of the text; an open range ``5-`` means 5, an empty one is left out."""
 
-    def numbers(part: Column) -> Column:
-        bounds = F.split(part, "-")
-        low = F.trim(F.get(bounds, 0)).try_cast("bigint")
-        high = F.coalesce(F.trim(F.get(bounds, 1)).try_cast("bigint"), low)
-        return F.when(low.isNull() | (high < low), F.array().cast("array<bigint>")).otherwise(F.sequence(low, high))
+    def bounds(part: Column) -> Column:
+        ends = F.split(part, "-")
+        low = F.trim(F.get(ends, 0)).try_cast("bigint")
+        high = F.coalesce(F.trim(F.get(ends, 1)).try_cast("bigint"), low)
+        return F.struct(low.alias("low"), high.alias("high"))
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(value, ","), numbers))))
+    return F.filter(F.transform(F.split(_col(value), ","), bounds), lambda r: r["low"] <= r["high"])
+
+
+def expand_ranges(value: Column | str) -> Column:
+    """``2,3-8`` → sorted distinct numbers. The result is as long as the ranges are wide; to test numbers
+    against wide ranges use ``range_bounds``."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(range_bounds(value), lambda r: F.sequence(r["low"], r["high"])))))
 
 
 def range_except(allowed: Column | str, excluded: Column | str, modulo: Column | int) -> Column:
     """Allowed numbers modulo ``n`` without the excluded ones; no allowed numbers means all of 0..n-1."""
     n = (F.lit(modulo) if isinstance(modulo, int) else modulo).cast("bigint")
-    listed = F.transform(expand_ranges(allowed), lambda v: v % n)
-    every = F.sequence(F.lit(0).cast("bigint"), n - 1)
-    chosen = F.when(F.size(listed) == 0, every).otherwise(listed)
-    return F.array_sort(F.array_except(chosen, expand_ranges(excluded)))
+    listed, barred = range_bounds(allowed), range_bounds(excluded)
+
+    def chosen(v: Column) -> Column:
+        # Some number of the range leaves v when divided by n; the width of the range does not matter.
+        hit = F.exists(listed, lambda r: F.pmod(r["high"] - v, n) <= r["high"] - r["low"])
+        return ((F.size(listed) == 0) | hit) & ~F.exists(barred, lambda r: (r["low"] <= v) & (v <= r["high"]))
+
+    return F.filter(F.sequence(F.lit(0).cast("bigint"), n - 1), chosen)
 
 
 def format_ipv4(address: Column | str) -> Column:

@@ -77,11 +77,13 @@ def replay_sapi(messages: DataFrame) -> DataFrame:
 
 
 def queue_by_class(messages: DataFrame, column: str = "mq_class") -> DataFrame:
-    """Replay each channel with the queue class it names."""
+    """Replay each channel with the queue class it names; there is no endpoint (404) for an unknown class or none."""
     parts = [
         replay(messages.filter(F.col(column) == name)).select("event_id", "channel", column, "method", "status")
         for name, replay in _queue_classes.items()
     ]
+    known = F.coalesce(F.col(column).isin(*_queue_classes), F.lit(False))
+    parts.append(messages.filter(~known).select("event_id", "channel", column, "method", F.lit(404).alias("status")))
     return reduce(DataFrame.unionByName, parts)
 
 

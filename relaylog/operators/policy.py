@@ -88,9 +88,13 @@ def task_limit(intervals: DataFrame, slicing: Slicing | None = None) -> DataFram
 
 
 def endpoint_down(messages: DataFrame, active: Column | str = "active") -> DataFrame:
-    """Status 521 for requests to a channel that is switched off, null otherwise."""
+    """Status 521 for PUTs to a handler channel that is switched off, null otherwise.
+
+    Other classes keep serving, and other methods are refused as not allowed before. Rows carry ``mq_class``.
+    """
     active = F.col(active) if isinstance(active, str) else active
-    return messages.withColumn("status", F.when(~active, F.lit(521)))
+    asked = (F.col("mq_class") == "SyncSAPI") & (F.col("method") == "PUT")
+    return messages.withColumn("status", F.when(asked & ~active, F.lit(521)))
 
 
 def with_channel_config(messages: DataFrame, channels: DataFrame, max_broadcast: int = 100_000) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from relaylog.operators.slices import add_slice, carry_forward, is_sliced, running
 from relaylog.session import materialise
 
-_NOT_SERVED = ("DELETE", "TRACE", "CONNECT", "PATCH")
+NOT_SERVED = ("DELETE", "TRACE", "CONNECT", "PATCH")
 
 
 def _is(method: str) -> Column:
@@ -85,11 +85,11 @@ def _first_replies(walk: DataFrame) -> DataFrame:
     """The answering POST of each answered PUT, for logs with hot channels: ``channel, seq`` and
     the POST's ``slice, pos, event_id, ts``.
 
-    A uid may be named by any number of POSTs, so the PUT is looked up by an equi join, in
-    which adaptive execution splits a hot uid, and the first reply is a pre-aggregated minimum.
+    The first PUT of a uid owns it. A uid may be named by any number of POSTs, so the PUT is
+    looked up by an equi join, in which adaptive execution splits a hot uid, and the first reply is a pre-aggregated minimum.
     """
-    puts = walk.filter(_is("PUT")).select(
-        "channel", F.col("uid").alias("_uid"), F.col("pos").alias("_put_pos"), F.col("puts").alias("seq")
+    puts = walk.filter(_is("PUT") & F.col("uid").isNotNull()).groupBy("channel", F.col("uid").alias("_uid")).agg(
+        F.min("pos").alias("_put_pos"), F.min("puts").alias("seq")
     )
     posts = walk.filter(_is("POST") & forward_uid().isNotNull()).select(
         "channel", forward_uid().alias("_uid"), "slice", "pos", "event_id", "ts"
@@ -235,7 +235,7 @@ def queue_replay(messages: DataFrame) -> DataFrame:
         .when(_is("GET"), F.when(~F.col("popped"), 204).when(F.col("late_pop"), 503).otherwise(200))
         .when(_is("POST"), F.coalesce(forward_status(), F.when(answered, 200).otherwise(300)))
         .when(_is("HEAD"), F.when(F.col("depth") > 0, 200).otherwise(204))
-        .when(F.col("method").isin(*_NOT_SERVED), 405)
+        .when(F.col("method").isin(*NOT_SERVED), 405)
         .otherwise(200)
     )
     return rows.withColumns({

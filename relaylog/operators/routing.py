@@ -36,7 +36,10 @@ def pattern_regex(pattern: Column | str) -> Column:
 
 
 def compile_routes(routes: DataFrame) -> DataFrame:
-    """``channel, pattern`` with ``seg`` (join key), ``rx`` and ``spec`` (literal prefix length)."""
+    """``channel, pattern`` with ``seg`` (join key), ``rx`` and ``spec`` (literal prefix length).
+
+    Patterns that are not supported take no part; ``rejected_routes`` lists them.
+    """
     return routes.filter(valid_pattern("pattern")).withColumns({
         "seg": first_segment("pattern"),
         "rx": pattern_regex("pattern"),
@@ -44,6 +47,12 @@ def compile_routes(routes: DataFrame) -> DataFrame:
     })
 
 
+def rejected_routes(routes: DataFrame) -> DataFrame:
+    """Routes that can match nothing, with the reason."""
+    bad = ~F.coalesce(valid_pattern("pattern"), F.lit(False))
+    return routes.filter(bad).withColumn("reason", F.lit("invalid_pattern"))
+
+
 def route_match(messages: DataFrame, routes: DataFrame, path: str = "path") -> DataFrame:
     """Add ``route``: the channel of the most specific matching route, null when none matches.
 

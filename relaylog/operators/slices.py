@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,7 +144,10 @@ def running(
             {f"_m_{n}": F.min(F.col(f"_o_{src}") + F.col(f"_l_{n}")).over(before) for n, (src, _) in lows.items()}
         )
     offsets = offsets.select(*part, *[f"_o_{n}" for n in sums], *[f"_m_{n}" for n in lows])
-    joined = out.join(offsets, part, "left")
+    # Null is a key like any other, as it is for the windows.
+    offsets = offsets.withColumnsRenamed({c: f"_k_{c}" for c in part})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in part])
+    joined = out.join(offsets, same, "left").drop(*[f"_k_{c}" for c in part])
     shifted = {n: F.col(n) + F.coalesce(f"_o_{n}", F.lit(0)) for n in sums}
     shifted |= {
         n: F.least(F.col(f"_m_{n}"), F.col(n) + F.coalesce(f"_o_{src}", F.lit(0))) for n, (src, _) in lows.items()
@@ -172,8 +177,10 @@ def carry_forward(
     )
     before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumns({f"_c_{c}": F.last(f"_c_{c}", ignorenulls=True).over(before) for c in columns})
+    ends = ends.withColumnsRenamed({c: f"_k_{c}" for c in part})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in part])
     return (
-        out.join(ends, part, "left")
+        out.join(ends, same, "left").drop(*[f"_k_{c}" for c in part])
         .withColumns({c: F.coalesce(F.col(c), F.col(f"_c_{c}")) for c in columns})
         .drop(*[f"_c_{c}" for c in columns])
     )

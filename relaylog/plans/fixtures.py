@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from relaylog.operators.ids import message_uid
 from relaylog.operators.slices import ROWS_PER_SLICE, Slicing, add_slice, plan_slices, running
 
-_slicings: dict[tuple, Slicing] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,12 +36,9 @@ def to_messages(events: DataFrame) -> DataFrame:
 
 
 def slicing_of(spark: SparkSession, sf_dir: str, rows_per_slice: int = ROWS_PER_SLICE) -> Slicing:
-    """Slices of the message log; profiled once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, rows_per_slice)
-    if key not in _slicings:
-        events = table(spark, sf_dir, "events").select(F.col("user_id").alias("channel"), "ts")
-        _slicings[key] = plan_slices(events, rows_per_slice=rows_per_slice)
-    return _slicings[key]
+    """Slices of the message log, from one pre-aggregated pass."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("channel"), "ts")
+    return plan_slices(events, rows_per_slice=rows_per_slice)
 
 
 def messages(spark: SparkSession, sf_dir: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:

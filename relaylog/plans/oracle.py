@@ -135,6 +135,58 @@ step as (
 select event_id, channel, method, status, q, case when status = 507 then 3 end as queue_limit from step where n > 0
 """
 
+# The recursion decides which PUTs are refused; the replay is then that of the other rows.
+_BOUNDED_FULL = f"""
+with recursive {_LOG},
+ops as (
+  select *, case channel % 4 when 0 then 9000000000000000000 when 1 then 1 when 2 then 3 else 5 end as lim from fl),
+step as (
+  select channel, cast(0 as bigint) as pos, cast(0 as bigint) as q, false as refused from (select distinct channel from ops)
+  union all
+  select o.channel, o.pos,
+    case when o.method = 'PUT' then least(o.lim, s.q + 1) when o.method = 'GET' then greatest(0, s.q - 1) else s.q end,
+    o.method = 'PUT' and s.q >= o.lim
+  from step s join ops o on o.channel = s.channel and o.pos = s.pos + 1),
+a as (
+  select o.event_id, o.channel, o.pos, o.uid, o.fwd, o.lim, o.method as asked, s.refused,
+    case when s.refused then 'none' else o.method end as method, s.q as depth
+  from ops o join step s on s.channel = o.channel and s.pos = o.pos),
+b as (
+  select *, sum(case when method = 'PUT' then 1 else 0 end) over o as puts,
+    sum(case when method = 'PUT' then 1 else 0 end) over o - depth as pops
+  from a window o as (partition by channel order by pos rows between unbounded preceding and current row)),
+bw as (select *, method = 'GET' and pops > coalesce(lag(pops) over (partition by channel order by pos), 0) as popped from b),
+bp as (select channel, puts as seq, uid, pos as put_pos from bw where method = 'PUT'),
+bg as (select channel, pops as seq, pos as get_pos from bw where popped),
+bc as (
+  select w.channel, p.seq, w.pos as post_pos, row_number() over (partition by w.channel, p.seq order by w.pos) as n
+  from bw w join bp p on p.channel = w.channel and cast(p.uid as varchar) = w.fwd and w.pos > p.put_pos where w.method = 'POST'),
+bt as (
+  select p.channel, p.seq, g.get_pos, c.post_pos from bp p left join bg g using (channel, seq)
+  left join (select * from bc where n = 1) c using (channel, seq)),
+bl as (
+  select w.*, tg.post_pos < tg.get_pos as late, tp.seq as put_seq, coalesce(tp.get_pos < w.pos, false) as cleared
+  from bw w left join bt tg on tg.channel = w.channel and tg.get_pos = w.pos
+  left join bt tp on tp.channel = w.channel and tp.post_pos = w.pos)
+select event_id, asked as method,
+  case when refused then 507 when asked = 'PUT' then 202
+       when asked = 'GET' then case when not popped then 204 when late then 503 else 200 end
+       when asked = 'POST' then case when fwd is null or fwd = 'bad' then 400 when put_seq is null then 300 else 200 end
+       when asked = 'HEAD' then case when depth > 0 then 200 else 204 end else 405 end as status,
+  cast(depth as bigint) as q,
+  cast(pops - sum(case when cleared then 1 else 0 end) over o as bigint) as pend,
+  cast(puts - sum(case when put_seq is not null then 1 else 0 end) over o as bigint) as msgs,
+  case when refused then cast(lim as bigint) end as x_mq_queue_limit
+from bl window o as (partition by channel order by pos rows between unbounded preceding and current row)
+"""
+
+_RATE = f"""
+with {_MESSAGES}, {_CONFIG},
+b as (select m.*, max_requests, case when period > 0 then sec // period end as bucket from m join cfg using (channel)),
+n as (select *, row_number() over (partition by channel, bucket order by ts, event_id) as request_no from b)
+select event_id, channel, bucket, request_no, bucket is not null and request_no > max_requests as over_limit from n
+"""
+
 _DAILY = f"""
 with {_MESSAGES}, d as (select date_trunc('day', ts) as start, channel, method from m)
 select epoch_us(start) as start_us, epoch_us(start + interval 1 day) as end_us, channel, method, count(*) as requests
@@ -215,7 +267,8 @@ ORACLE: dict[str, str] = {
           pend + case when cleared then 1 else 0 end, msgs + 1, 'Sync.MQ.Queue', q
         from replay where method = 'POST' and status = 200""",
     "access_log": f"""
-        with {_LOG} select uid, '192.168.1.' || (channel % 256) as address, 1024 + k as port, status as code, {_TEXT} as message
+        with {_LOG} select uid, '192.168.1.' || (channel % 256) as address, 1024 + k as port, status as code, {_TEXT} as message,
+          case when k % 2 = 0 then lower(to_hex(k)) end as thread
         from replay""",
     "snapshot_restore": f"{_REPLAY} where ts >= timestamp '2024-01-15 00:00:00'",
     "channel_table": r"""
@@ -354,17 +407,17 @@ ORACLE: dict[str, str] = {
           'extracted-at=' || extracted_at, 'finished-at=' || finished_at) as header, created_at, emplaced_at from tele""",
     "bounded_queue": _BOUNDED,
     "bounded_queue_chunked": _BOUNDED,
-    "rate_limit": f"""
-        with {_MESSAGES}, {_CONFIG},
-        b as (select m.*, max_requests, case when period > 0 then sec // period end as bucket from m join cfg using (channel)),
-        n as (select *, row_number() over (partition by channel, bucket order by ts, event_id) as request_no from b)
-        select event_id, channel, bucket, request_no, bucket is not null and request_no > max_requests as over_limit from n""",
+    "queue_replay_bounded": _BOUNDED_FULL,
+    "queue_replay_bounded_sliced": _BOUNDED_FULL,
+    "rate_limit": _RATE,
+    "rate_limit_sliced": _RATE,
     "task_limit": f"""
         with {_INTERVAL_EDGES}, {_CONFIG}
         select event_id, channel, a.active, limit_tasks, limit_tasks > 0 and a.active > limit_tasks as over_limit
         from active a join cfg using (channel) where step = 1""",
     "endpoint_down": f"""
-        with {_MESSAGES}, {_CONFIG} select event_id, channel, 521 as status from m join cfg using (channel) where not active""",
+        with {_MESSAGES}, {_CONFIG} select event_id, channel, 521 as status from m join cfg using (channel)
+          where not active and mq_class = 'SyncSAPI' and method = 'PUT' """,
     "handler_apply": f"select conv_id, turn, {_HANDLED} from conversations",
     "handler_by_channel": f"""
         select conv_id, turn, 'PythonEngine' as sapi_class, {_HANDLED} from conversations where role = 'user'

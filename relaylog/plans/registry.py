@@ -12,6 +12,7 @@ from relaylog.functions import scalars as S
 from relaylog.operators import bounded, handlers, ids, monitor, policy, queue, routing
 from relaylog.operators.slices import add_slice, plan_slices
 from relaylog.plans import fixtures as fx
+from relaylog.schema import DEFAULT_QUERY_LIMIT
 from relaylog.session import materialise, new_folder
 from relaylog.sources import capture, channels, replies, snapshot
 
@@ -49,7 +50,7 @@ def union_listeners(spark: SparkSession, sf_dir: str) -> DataFrame:
         ":8080": fx.raw_http(fx.table(spark, sf_dir, "events")),
         ":8081": fx.page_http(fx.table(spark, sf_dir, "pages")),
     })
-    parsed = capture.parse_requests(captures)
+    parsed = capture.parse_requests(captures, query_limit=DEFAULT_QUERY_LIMIT)
     return parsed.select("listener", "event_id", "code", "method", "uri", F.octet_length("body").alias("body_bytes"))
 
 
@@ -89,9 +90,9 @@ def reply_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     replay = queue.queue_replay(fx.log(spark, sf_dir))
     address = S.format_ipv4(F.lit(3232235776) + F.col("channel") % 256)
-    lines = replay.select(
-        replies.access_line("uid", address, (1024 + F.col("k")).cast("int"), "status", replies.reply_text()).alias("value")
-    )
+    line = replies.access_line("uid", address, (1024 + F.col("k")).cast("int"), "status", replies.reply_text())
+    thread = F.when(F.col("k") % 2 == 0, F.concat(F.lit(" # Thread: "), F.lower(F.hex("k")))).otherwise("")
+    lines = replay.select(F.concat(line, thread).alias("value"))
     path = new_folder(spark, "access-log")
     lines.write.text(path)
     return replies.parse_access_log(spark.read.text(path))
@@ -457,6 +458,36 @@ def bounded_queue_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounded.bounded_queue(_limited(spark, sf_dir, SMALL_SLICE))
 
 
+def _varied(spark: SparkSession, sf_dir: str, rows_per_slice: int | None = None) -> DataFrame:
+    """The log with limits of 0 (none), 1, 3 and 5, by channel."""
+    rows = fx.log(spark, sf_dir, rows_per_slice) if rows_per_slice else fx.log(spark, sf_dir)
+    n = F.col("channel") % 4
+    return rows.withColumn("limit_size", F.when(n == 0, 0).when(n == 1, 1).when(n == 2, 3).otherwise(5))
+
+
+def _bounded_columns(replay: DataFrame) -> DataFrame:
+    return replay.select("event_id", "method", "status", "q", "pend", "msgs", "x_mq_queue_limit")
+
+
+@query
+def queue_replay_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every method answered, with a size limit that varies by channel."""
+    return _bounded_columns(bounded.queue_replay_bounded(_varied(spark, sf_dir)))
+
+
+@query
+def queue_replay_bounded_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every channel treated as hot."""
+    return _bounded_columns(bounded.queue_replay_bounded(_varied(spark, sf_dir, SMALL_SLICE)))
+
+
+@query
+def rate_limit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same numbering as ``rate_limit`` with every channel treated as hot."""
+    rows = policy.rate_limit(_limited(spark, sf_dir, SMALL_SLICE))
+    return rows.select("event_id", "channel", "bucket", "request_no", "over_limit")
+
+
 @query
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = policy.rate_limit(_limited(spark, sf_dir))

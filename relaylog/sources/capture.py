@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaylog.schema import DEFAULT_HEADER_LIMIT, DEFAULT_QUERY_LIMIT, METHODS
+from relaylog.schema import DEFAULT_HEADER_LIMIT, METHODS
 
 _BLANKS = " \t"
 
@@ -26,17 +26,18 @@ def method_ordinal(method: Column | str) -> Column:
 def parse_requests(
     captures: DataFrame,
     raw: str = "raw",
-    query_limit: Column | int = DEFAULT_QUERY_LIMIT,
+    query_limit: Column | int | None = None,
     header_limit: Column | int = DEFAULT_HEADER_LIMIT,
     read_error: Column | None = None,
 ) -> DataFrame:
-    """Add ``code, method, uri, params, head, body`` for the capture text in ``raw``.
+    """Add ``code, method, uri, params, head, body, truncated`` for the capture text in ``raw``.
 
-    Limits count bytes: the head has to end within both limits and the whole request is cut at
-    ``query_limit``. Look headers up in ``head`` with ``header`` or list them with ``headers``.
+    Limits count bytes: the head has to end within both limits. A request is cut only where a ``query_limit`` is
+    given (``DEFAULT_QUERY_LIMIT`` is what listeners use that name none), and ``truncated`` marks it. Look headers up in ``head`` with ``header`` or list them with ``headers``.
     """
     text = F.col(raw)
-    query_limit = (F.lit(query_limit) if isinstance(query_limit, int) else query_limit).cast("int")
+    unlimited = query_limit is None
+    query_limit = F.lit(2**31 - 1) if unlimited else (F.lit(query_limit) if isinstance(query_limit, int) else query_limit).cast("int")
     header_limit = (F.lit(header_limit) if isinstance(header_limit, int) else header_limit).cast("int")
 
     method = F.upper(F.regexp_extract(text, "^(?i)(" + "|".join(METHODS) + ") ", 1))
@@ -70,6 +71,7 @@ def parse_requests(
         "params": F.when(ok & (F.instr(target, "?") > 0), F.substring(target, F.instr(target, "?") + 1, F.length(target))),
         "head": F.when(ok, F.col("_head")),
         "body": F.when(ok, body),
+        "truncated": F.lit(False) if unlimited else ok & (F.octet_length(text) > query_limit),
     }).drop("_method", "_target", "_end", "_head", "_head_bytes")
 
 

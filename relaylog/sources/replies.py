@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 
 from relaylog.schema import CLASS_LABELS, DEFAULT_CONTENT_TYPE, MISSING_FORWARD_TEXT, REPLY_TEXT
 
-# Help text answered to OPTIONS, naming the headers that are really sent.
+# The help text answered to OPTIONS.
 HELP_TEXT = (
-    "<GET> - Get message from queue head\n"
-    "<PUT> - Emplace message in queue tail.\n"
-    "<POST> - Push message reply with specific ID (X-MSG-FORWARD-UID header must be specified)\n"
-    "<HEAD> - Check queue status. Reply headers contain X-MQ-QUEUE-COUNT - number of queue messages, "
-    "X-MQ-PENDING-COUNT - number of pending (in progress) messages\n"
-    "<OPTIONS> - Supported methods and this help"
+    "PUT adds a message at the end of the line and waits for its reply.\n"
+    "GET takes the message that has waited longest.\n"
+    "POST answers the message that X-MSG-FORWARD-UID names.\n"
+    "HEAD looks without taking: X-MQ-QUEUE-COUNT messages wait, X-MQ-PENDING-COUNT are being worked on.\n"
+    "OPTIONS lists what a channel serves, like this."
 )
 # Layout of access log lines and of the route-miss warning.
 LOG_FORMAT = "[ Http::Response:%d ] %s:%d - %d (%s)"
-LOG_PATTERN = r"^\[ Http::Response:(\d+) \] (.*):(\d+) - (\d+) \((.*)\)$"
+LOG_PATTERN = r"^\[ Http::Response:(\d+) \] (.*):(\d+) - (\d+) \((.*?)\)(?: # Thread: ([0-9a-fA-F]+))?$"
 MISS_FORMAT = "<Router.Runtime.Warning> Route `%s` not found. [MSG: %d, %s:%d]"
 
 
@@ -95,16 +94,26 @@ def miss_line(uri: Column | str, uid: Column | str, address: Column | str, port:
 
 
 def parse_access_log(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Columns ``uid, address, port, code, message`` of access log lines; other lines are left out."""
+    """Columns ``uid, address, port, code, message, thread`` of access log lines.
+
+    Lines end with the message or with the thread that wrote them (null where there is none). Lines of any other
+    form are returned by ``unparsed_log``.
+    """
     def part(group: int) -> Column:
         return F.regexp_extract(column, LOG_PATTERN, group)
 
     return lines.filter(F.col(column).rlike(LOG_PATTERN)).select(
         part(1).cast("bigint").alias("uid"), part(2).alias("address"), part(3).cast("int").alias("port"),
         part(4).cast("int").alias("code"), part(5).alias("message"),
+        F.when(part(6) != "", part(6)).alias("thread"),
     )
 
 
+def unparsed_log(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines that are no access log lines."""
+    return lines.filter(~F.coalesce(F.col(column).rlike(LOG_PATTERN), F.lit(False)))
+
+
 def write_replies(replies: DataFrame, path: str, by: str = "day") -> None:
     """Parquet sink. By day the number of folders follows time, not the number of channels."""
     if by == "day":

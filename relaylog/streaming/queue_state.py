@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from relaylog.operators.queue import forward_status, forward_uid
+from relaylog.operators.queue import NOT_SERVED, forward_status, forward_uid
 from relaylog.streaming.jobs import timed
 
 OUTPUT = "event_id long, channel long, method string, status int, q long, pend long, msgs long"
@@ -90,7 +90,9 @@ class QueueProcessor(StatefulProcessor):
         for event_id, _, method, uid, target, bad in rows:
             status = 200
             if method == "PUT":
-                line[tail], held[uid] = uid, False
+                if taken(uid) is None:  # the first of equal uids owns the reply
+                    held[uid] = False
+                line[tail] = uid
                 tail, msgs, status = tail + 1, msgs + 1, 202
             elif method == "GET":
                 if head == tail:
@@ -117,7 +119,7 @@ class QueueProcessor(StatefulProcessor):
                     msgs -= 1
             elif method == "HEAD":
                 status = 200 if head < tail else 204
-            elif method != "OPTIONS":
+            elif method in NOT_SERVED:
                 status = 405
             out.append((event_id, channel, method, status, tail - head, pend, msgs))
         for place, uid in line.items():

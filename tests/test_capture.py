@@ -55,6 +55,17 @@ def test_lanes(spark):
 
 def test_access_log_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(7, "1.2.3.4", 80, 300, "Multiple (x)")], "uid long, a string, p int, c int, m string")
-    df.select(replies.access_line("uid", "a", "p", "c", "m").alias("value")).write.text(str(tmp_path / "log"))
-    lines = spark.read.text(str(tmp_path / "log")).union(spark.createDataFrame([("other",)], "value string"))
-    assert [tuple(r) for r in replies.parse_access_log(lines).collect()] == [(7, "1.2.3.4", 80, 300, "Multiple (x)")]
+    line = replies.access_line("uid", "a", "p", "c", "m")
+    df.select(F.explode(F.array(line, F.concat(line, F.lit(" # Thread: 7f3a")))).alias("value")).write.text(str(tmp_path / "log"))
+    lines = spark.read.text(str(tmp_path / "log")).union(spark.createDataFrame([("other",), (None,)], "value string"))
+    parsed = {tuple(r) for r in replies.parse_access_log(lines).collect()}
+    assert parsed == {(7, "1.2.3.4", 80, 300, "Multiple (x)", None), (7, "1.2.3.4", 80, 300, "Multiple (x)", "7f3a")}
+    assert {r.value for r in replies.unparsed_log(lines).collect()} == {"other", None}
+
+
+def test_bodies_are_cut_only_where_a_limit_says_so(spark):
+    big = "PUT /a/ HTTP/1.1\r\nHost: x\r\n\r\n" + "b" * 2_000_000
+    rows = spark.createDataFrame([(big,)], "raw string")
+    whole = capture.parse_requests(rows).select(F.octet_length("body").alias("n"), "truncated").first()
+    cut = capture.parse_requests(rows, query_limit=1000).select(F.octet_length("body").alias("n"), "truncated").first()
+    assert tuple(whole) == (2_000_000, False) and cut.n < 1000 and cut.truncated

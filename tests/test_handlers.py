@@ -52,3 +52,19 @@ def test_dedupe_limits_before_the_shuffle(spark):
     first = monitor.dedupe(df)
     assert "WindowGroupLimit" in first._jdf.queryExecution().executedPlan().toString()
     assert [r.event_id for r in first.collect()] == [0]
+
+
+def test_rate_limit_sliced_equals_plain_without_a_period(spark):
+    df = frame(spark, model.random_log(4, 400)).withColumns(
+        {"limit_seconds": F.when(F.col("channel") == 0, 0).when(F.col("channel") == 1, 60), "max_requests": F.lit(5)}
+    )
+    plain = policy.rate_limit(df).select("event_id", "bucket", "request_no", "over_limit")
+    cut = policy.rate_limit(add_slice(df, plan_slices(df, rows_per_slice=30))).select(*plain.columns)
+    key = lambda r: r.event_id
+    assert sorted(plain.collect(), key=key) == sorted(cut.collect(), key=key)
+
+
+def test_rows_of_an_unknown_class_are_answered(spark):
+    df = frame(spark, model.random_log(5, 60)).withColumn("mq_class", F.when(F.col("channel") == 0, "SyncQueue").when(F.col("channel") == 1, "none"))
+    got = handlers.queue_by_class(df)
+    assert got.count() == 60 and got.filter("status = 404").count() == df.filter("channel > 0").count()

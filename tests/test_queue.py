@@ -122,3 +122,34 @@ def test_slices_are_bounded(spark):
 def test_message_schema_matches_fixture(spark, tiny):
     log = fx.log(spark, tiny).select(*[f.name for f in MESSAGE.fields])
     assert [(f.name, f.dataType) for f in log.schema] == [(f.name, f.dataType) for f in MESSAGE.fields]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+@pytest.mark.parametrize("limit", [0, 1, 3])
+def test_full_replay_with_a_limit(spark, seed, limit):
+    rows = model.random_log(seed, 400)
+    df = frame(spark, rows).withColumn("limit_size", F.lit(limit))
+    expected = sorted(model.replay(rows, limit))
+    assert result(bounded.queue_replay_bounded(df)) == expected
+    assert result(bounded.queue_replay_bounded(sliced(df, 40))) == expected
+
+
+def test_limits_on_text_and_null_channels(spark):
+    rows = model.random_log(6, 300)
+    text = frame(spark, rows).withColumns({
+        "limit_size": F.lit(2), "channel": F.when(F.col("channel") > 0, F.concat(F.lit("ch-"), F.col("channel").cast("string"))),
+    })
+    expected = sorted(model.replay(rows, 2))
+    assert result(bounded.queue_replay_bounded(text)) == expected
+
+
+def test_equal_uids_and_unknown_methods(spark):
+    """The first of equal uids owns the reply, plain and sliced; methods nobody knows are answered with 200."""
+    rows = [(i, model.START.replace(minute=3 * i), 0, m, u, f) for i, (m, u, f) in enumerate([
+        ("PUT", 7, None), ("PUT", 7, None), ("GET", 1, None), ("POST", 2, "7"), ("GET", 3, None), ("BREW", 4, None), (None, 5, None),
+        ("POST", 6, "7"), ("HEAD", 8, None),
+    ])]
+    df = frame(spark, rows)
+    plain = result(queue.queue_replay(df))
+    assert plain == result(queue.queue_replay(sliced(df, 2)))
+    assert [r[1] for r in plain[5:7]] == [200, 200]

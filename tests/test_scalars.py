@@ -63,3 +63,10 @@ def test_uid_layout(spark):
     uid = ids.message_uid(F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(5))
     assert value(spark, ids.uid_second(uid)) == 1704067200
     assert value(spark, ids.uid_counter(uid)) == 5
+
+
+def test_numbers_beyond_64_bits(spark):
+    assert value(spark, S.parse_bytes(F.lit("99999999999G"), -1)) == -1
+    assert value(spark, S.parse_period(F.lit("9223372036854775807h"))) == 0
+    assert value(spark, S.range_except(F.lit("5-9000000000000000000"), F.lit("0-9000000000000000"), 4)) == []
+    assert value(spark, S.range_except(F.lit("6-9000000000000000000"), F.lit("1"), 4)) == [0, 2, 3]
