@@ -12,24 +12,24 @@ def traffic_stats(replay: DataFrame) -> DataFrame:
     return replay.groupBy("channel", "method", "status").agg(F.count(F.lit(1)).alias("requests"))
 
 
-def telemetry(trace: DataFrame) -> DataFrame:
+def telemetry(trace: DataFrame, reading_at: Column | None = None, finished_at: Column | None = None) -> DataFrame:
     """The five timestamps of a message in epoch microseconds, null while unset.
 
-    A consumer that hits an already answered message (503) leaves no timestamp.
+    Reading and finishing are no operations of the queue: give them as columns of the trace, from a telemetry
+    header for instance. A consumer that hits an already answered message (503) leaves no timestamp.
     """
+    unknown = F.lit(None).cast("bigint")
     def micros(name: str) -> Column:
         return F.unix_micros(F.col(name).cast("timestamp"))
 
-    created = micros("put_ts")
-    extracted = micros("post_ts")
     return trace.select(
         "channel",
         "uid",
-        created.alias("created_at"),
-        (created + F.col("k") * 10).alias("reading_at"),
+        micros("put_ts").alias("created_at"),
+        (unknown if reading_at is None else reading_at).alias("reading_at"),
         F.when(F.col("get_status") == 200, micros("get_ts")).alias("emplaced_at"),
-        extracted.alias("extracted_at"),
-        (extracted + F.col("k")).alias("finished_at"),
+        micros("post_ts").alias("extracted_at"),
+        (unknown if finished_at is None else finished_at).alias("finished_at"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from relaylog.operators import monitor
 from relaylog.operators.ids import message_uid
 from relaylog.operators.slices import ROWS_PER_SLICE, Slicing, add_slice, plan_slices, running
 
@@ -91,6 +92,17 @@ def channel_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def telemetry(trace: DataFrame) -> DataFrame:
+    """Telemetry in which reading and finishing take a time that follows ``k``."""
+    micros = {c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("put_ts", "post_ts")}
+    return monitor.telemetry(trace, micros["put_ts"] + F.col("k") * 10, micros["post_ts"] + F.col("k"))
+
+
+def content(k: Column) -> Column:
+    """Content of a message in the derived log."""
+    return F.concat(F.lit('{"k": '), k.cast("string"), F.lit("}"))
+
+
 def raw_http(events: DataFrame) -> DataFrame:
     """Events as captured requests, some of them malformed."""
     kind = F.col("event_type")

@@ -436,9 +436,11 @@ ORACLE: dict[str, str] = {
     "stream_queue_batches": _REPLAY,
     "stream_dedupe": f"with {_MESSAGES} select distinct (channel << 32) | k as uid, channel, k from m",
     "stream_correlate": f"""
-        with {_LOG} select p.channel as put_channel, p.put_id, p.uid as put_uid, f.event_id as post_id
+        with {_LOG} select p.channel as put_channel, p.put_id, p.uid as put_uid,
+          arg_min(f.event_id, (f.ts, f.event_id)) as post_id
         from p left join f on f.method = 'POST' and f.channel = p.channel and f.fwd = cast(p.uid as varchar)
-          and f.ts >= p.put_ts and f.ts <= p.put_ts + interval 3 day""",
+          and f.ts >= p.put_ts and f.ts <= p.put_ts + interval 3 day
+        group by p.channel, p.put_id, p.uid""",
     "stream_monitor": _DAILY,
     "stream_monitor_sliding": f"""
         with {_MESSAGES}, d as (

@@ -82,7 +82,8 @@ def size_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reply_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies written to the partitioned sink and read back."""
     path = new_folder(spark, "replies")
-    replies.write_replies(replies.reply_rows(queue.queue_replay(fx.log(spark, sf_dir))), path)
+    replay = queue.queue_replay(fx.log(spark, sf_dir)).withColumn("content", fx.content(F.col("k")))
+    replies.write_replies(replies.reply_rows(replay), path)
     return spark.read.parquet(path).drop("ts", "day")
 
 
@@ -261,7 +262,7 @@ def traffic_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.latency_stats(monitor.telemetry(queue.message_trace(fx.log(spark, sf_dir))))
+    return monitor.latency_stats(fx.telemetry(queue.message_trace(fx.log(spark, sf_dir))))
 
 
 @query
@@ -429,7 +430,7 @@ def json_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def telemetry_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tele = monitor.telemetry(queue.message_trace(fx.log(spark, sf_dir)))
+    tele = fx.telemetry(queue.message_trace(fx.log(spark, sf_dir)))
     header = S.telemetry_header("created_at", "reading_at", "emplaced_at", "extracted_at", "finished_at")
     rows = tele.select("uid", header.alias("header"))
     return rows.select(

@@ -34,14 +34,18 @@ def reply_text(status: Column | str = "status", method: Column | str = "method",
 def reply_rows(replay: DataFrame) -> DataFrame:
     """All replies of a replayed log, with the uids and contents of the other side.
 
+    ``content`` of a row is what its message carries, and ``content_type``, where the log has it, its type.
+
     Every operation but PUT is answered at once. The caller of a PUT is answered when its first
     POST arrives, with that POST's content; the counters it sees are those before the message is
     dropped. ``x_msg_forward_uid`` names the taken message (GET) or the answering POST (caller),
     ``x_msg_head_uid`` the message at the front (HEAD).
     """
     method, status = F.col("method"), F.col("status")
+    own_type = F.coalesce(F.col("content_type"), F.lit(DEFAULT_CONTENT_TYPE)) if "content_type" in replay.columns else F.lit(DEFAULT_CONTENT_TYPE)
     puts = replay.filter(method == "PUT").select(
-        "channel", F.col("puts").alias("_look"), F.col("uid").alias("_uid"), F.col("k").alias("_k")
+        "channel", F.col("puts").alias("_look"), F.col("uid").alias("_uid"), F.col("content").alias("_content"),
+        own_type.alias("_type"),
     )
     took, peeked, answered = ((method == m) & (status == 200) for m in ("GET", "HEAD", "POST"))
     look = F.when(took, F.col("pops")).when(peeked, F.col("pops") + 1).when(answered, F.col("seq"))
@@ -52,8 +56,8 @@ def reply_rows(replay: DataFrame) -> DataFrame:
     sender = F.struct(
         F.lit("sender").alias("to"),
         reply_text().alias("message"),
-        F.when(helped, HELP_TEXT).when(took, content("_k")).otherwise("").alias("body"),
-        F.when(helped, "text/plain").otherwise(DEFAULT_CONTENT_TYPE).alias("content_type"),
+        F.when(helped, HELP_TEXT).when(took, F.col("_content")).otherwise("").alias("body"),
+        F.when(helped, "text/plain").when(took, F.col("_type")).otherwise(DEFAULT_CONTENT_TYPE).alias("content_type"),
         F.col("uid").alias("x_msg_uid"),
         F.when(took, F.col("_uid")).alias("x_msg_forward_uid"),
         F.when(peeked, F.col("_uid")).alias("x_msg_head_uid"),
@@ -63,8 +67,8 @@ def reply_rows(replay: DataFrame) -> DataFrame:
     caller = F.struct(
         F.lit("caller").alias("to"),
         F.lit(REPLY_TEXT[200]).alias("message"),
-        content("k").alias("body"),
-        F.lit(DEFAULT_CONTENT_TYPE).alias("content_type"),
+        F.col("content").alias("body"),
+        own_type.alias("content_type"),
         F.col("_uid").alias("x_msg_uid"),
         F.col("uid").alias("x_msg_forward_uid"),
         none.alias("x_msg_head_uid"),
@@ -79,11 +83,6 @@ def reply_rows(replay: DataFrame) -> DataFrame:
     )
 
 
-def content(k: Column | str) -> Column:
-    """Content of a message in the derived log."""
-    return F.concat(F.lit('{"k": '), F.col(k).cast("string"), F.lit("}"))
-
-
 def access_line(uid: Column | str, address: Column | str, port: Column | str, code: Column | str,
                 message: Column | str) -> Column:
     return F.format_string(LOG_FORMAT, uid, address, port, code, message)

@@ -38,7 +38,10 @@ def stream_dedupe(stream: DataFrame, delay: str, uid: str = "uid") -> DataFrame:
 
 
 def stream_correlate(requests: DataFrame, answers: DataFrame, wait: str, delay: str) -> DataFrame:
-    """PUTs with the POSTs that name them within ``wait``; without one the answer is null."""
+    """Every PUT with the first POST that names it within ``wait``; without one the answer is null.
+
+    A PUT comes out once, when the watermark has passed the time in which it can be answered.
+    """
     puts = timed(requests, delay).filter(F.col("method") == "PUT").select(
         F.col("channel").alias("put_channel"), F.col("uid").alias("put_uid"),
         F.col("event_id").alias("put_id"), F.col("ts").alias("put_ts"),
@@ -53,7 +56,9 @@ def stream_correlate(requests: DataFrame, answers: DataFrame, wait: str, delay:
         & (F.col("post_ts") >= F.col("put_ts"))
         & (F.col("post_ts") <= F.col("put_ts") + F.expr(f"interval {wait}"))
     )
-    return puts.join(posts, within, "leftOuter")
+    first = F.min(F.when(F.col("post_id").isNotNull(), F.struct("post_ts", "post_id", "post_channel", "post_uid"))).alias("_first")
+    answered = puts.join(posts, within, "leftOuter").groupBy("put_channel", "put_uid", "put_id", "put_ts").agg(first)
+    return answered.select("put_channel", "put_uid", "put_id", "put_ts", "_first.*")
 
 
 def stream_monitor(stream: DataFrame, delay: str, width: str, slide: str | None = None) -> DataFrame:

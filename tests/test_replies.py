@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 from relaylog.operators.queue import queue_replay
+from relaylog.plans import fixtures as fx
 from relaylog.sources import replies
 from test_queue import frame
 
@@ -9,7 +12,7 @@ def reply_rows(spark):
     ops = [("PUT", None), ("HEAD", None), ("GET", None), ("POST", "1000"), ("OPTIONS", None), ("GET", None),
            ("POST", ""), ("PATCH", None)]
     rows = [(i, model.START.replace(second=i), 0, m, 1000 + i, fwd) for i, (m, fwd) in enumerate(ops)]
-    return {(r.event_id, r.to): r for r in replies.reply_rows(queue_replay(frame(spark, rows))).collect()}
+    return {(r.event_id, r.to): r for r in replies.reply_rows(queue_replay(frame(spark, rows)).withColumn("content", fx.content(F.col("k")))).collect()}
 
 
 def test_every_side_gets_its_answer(spark):
@@ -26,10 +29,10 @@ def test_every_side_gets_its_answer(spark):
     assert (caller.x_msg_uid, caller.x_msg_forward_uid) == (1000, 1003)
     assert (caller.x_mq_pending_count, caller.x_mq_messages_count) == (1, 1)
     assert (got[3, "sender"].x_mq_pending_count, got[3, "sender"].x_mq_messages_count) == (0, 0)
-    assert got[4, "sender"].content_type == "text/plain" and got[4, "sender"].body.startswith("<GET>")
+    assert got[4, "sender"].content_type == "text/plain" and got[4, "sender"].body == replies.HELP_TEXT
 
 
 def test_sink_is_partitioned_by_day(spark, tmp_path):
     rows = [(0, model.START, 0, "GET", 1, None), (1, model.START.replace(day=2), 0, "GET", 2, None)]
-    replies.write_replies(replies.reply_rows(queue_replay(frame(spark, rows))), str(tmp_path / "r"))
+    replies.write_replies(replies.reply_rows(queue_replay(frame(spark, rows)).withColumn("content", fx.content(F.col("k")))), str(tmp_path / "r"))
     assert sorted(p.name for p in (tmp_path / "r").glob("day=*")) == ["day=2024-01-01", "day=2024-01-02"]
