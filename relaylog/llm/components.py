@@ -22,16 +22,17 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """
     edges = links.filter(F.col(left) != F.col(right)).select(
         F.greatest(left, right).alias("u"), F.least(left, right).alias("v")
-    ).distinct()
-    edges = materialise(edges, "links")
+    )
     mark = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_lowest(both), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"))
+        both = both.select("e.u", "e.v")
+        large = both.join(_lowest(both), "u").filter((F.col("v") > F.col("u")) & (F.col("v") != F.col("m")))
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.join(_lowest(large), "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = materialise(small.filter("u != v").distinct(), "links")
+        hung = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = small.select(F.explode(hung).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
+        edges = materialise(small, "links")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             break

@@ -10,12 +10,13 @@ however long it is, besides one look at each shingle.
 ``ROWS`` coordinates form a band; texts that agree on a band share a bucket. Nobody's bucket is gathered:
 
 * Copies of a text are one node (by a 64-bit hash of the text).
-* Each bucket elects a hub, a minimum; other members are compared with the hub only. Several orders of election
-  give a text several hubs.
-* Agreement of the whole signatures drops pairs that are six standard errors below the threshold; the others are
+* Each bucket elects a hub, the first in an order of all texts; other members are compared with the hub only. As
+  the order is the same everywhere, the buckets of a large group agree on few hubs.
+* Agreement of the whole signatures drops pairs that are five standard errors below the threshold; the others are
   verified exactly, from their texts.
 * Buckets that still hold several components are refined: their members are dealt to finer buckets by further
-  coordinates, elect new hubs, and are compared again, for ``REFINE`` rounds or until nothing is left.
+  coordinates, and compared with a random hub of another component, with other coordinates and hubs in every
+  round, until a round finds no link (or after ``REFINE`` rounds).
 
 With 30 bands of 5, a pair at exactly 0.8 shares no bucket with probability 7e-6, at 0.85 with 2e-8.
 
@@ -41,11 +42,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 30, 5
 K = BANDS * ROWS
-ORDERS = 6
-REFINE = 2
-FINER, FINER_ROWS = 8, 3
+REFINE = 4
+FINER, FINER_ROWS = 2, 5
 PAIRS_PER_HUB = 256
-ESTIMATE = SIMILARITY - 6 * (SIMILARITY * (1 - SIMILARITY) / K) ** 0.5
+ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / K) ** 0.5
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -167,13 +167,17 @@ def _hubs(rows: DataFrame, order: str) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``a, b, estimate`` of the pairs whose signatures agree often enough."""
+    """The pairs whose signatures agree often enough."""
     sig = nodes.select("h", "sig")
-    both = (
+    return _agreeing(
         pairs.join(sig.select(F.col("h").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(sig.select(F.col("h").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
     )
 
+
+def _agreeing(both: DataFrame) -> DataFrame:
+    """``a, b`` of the rows whose two signatures agree on a share of at least ESTIMATE."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -181,11 +185,10 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             left, right = (
                 np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, K) for c in ("sig_a", "sig_b")
             )
-            estimate = (left == right).mean(axis=1)
-            out = pa.record_batch([batch.column("a"), batch.column("b"), pa.array(estimate)], ["a", "b", "estimate"])
-            yield out.filter(pa.array(estimate >= ESTIMATE))
+            out = pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"])
+            yield out.filter(pa.array((left == right).mean(axis=1) >= ESTIMATE))
 
-    return both.mapInArrow(run, "a bigint, b bigint, estimate double")
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -240,50 +243,55 @@ def classes(docs: DataFrame, sketches: DataFrame | None = None) -> tuple[DataFra
     bands = nodes.select("h", F.posexplode(F.expr(
         f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * {2 * ROWS} + 1, {2 * ROWS})))"
     )).alias("band", "bucket"))
-    members = materialise(_hubs(bands, f"xxhash64(h, pmod(bucket, {ORDERS}))").select("bucket", "h", "b"), "dart-buckets")
+    members = materialise(_hubs(bands, "xxhash64(h)").select("bucket", "h", "b"), "dart-buckets")
     pairs = members.filter("h != b").select(F.col("h").alias("a"), "b").distinct()
     likely = materialise(_likely(pairs, nodes), "dart-pairs")
     if likely.isEmpty():
         return rows, None
 
-    wanted = members.select("h").distinct()
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").filter(F.col("text").isNotNull())
-    texts = materialise(texts.groupBy("h").agg(F.first("text").alias("text")).join(wanted, "h", "left_semi"), "dart-texts")
-
-    # First each text's likeliest hub, then what could still join two components.
-    best = likely.groupBy("a").agg(F.max_by("b", "estimate").alias("b"))
-    links = materialise(verified(best, texts), "dart-links")
-    roots = components(links)
+    texts = _texts(docs, members)
+    links = verified(likely, texts)
+    links = materialise(links, "dart-links")
+    roots = None if links.isEmpty() else components(links)
     tested = likely
-    rest = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
-    for turn in range(REFINE + 1):
-        if turn:
-            # Buckets with several components: finer buckets by further coordinates, with new hubs.
-            known = _with_root(members.select("bucket", "h"), roots, "h", "root")
-            mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("top")).filter("low != top").select("bucket")
-            open_ = members.select("bucket", "h").join(mixed, "bucket", "left_semi").join(nodes, "h")
-            finer = F.expr(
-                f"transform(sequence(0, {FINER - 1}), e -> xxhash64(bucket, e, "
-                + ", ".join(f"substring(sig, 2 * pmod(xxhash64(bucket, e, {turn * FINER_ROWS + j}), {K}) + 1, 2)" for j in range(FINER_ROWS))
-                + "))"
-            )
-            members = materialise(_hubs(open_.select("h", F.explode(finer).alias("bucket")), f"xxhash64(h, bucket, {turn})").select("bucket", "h", "b"), "dart-buckets")
-            pairs = members.filter("h != b").select(F.col("h").alias("a"), "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            pairs = _with_root(_with_root(pairs, roots, "a", "ra"), roots, "b", "rb").filter("ra != rb").select("a", "b")
-            rest = materialise(_likely(pairs, nodes), "dart-pairs")
-            tested = tested.unionByName(rest)
-            rest = rest.select("a", "b")
-        else:
-            rest = _with_root(_with_root(rest, roots, "a", "ra"), roots, "b", "rb").filter("ra != rb").select("a", "b")
-        fresh = materialise(verified(rest, texts), "dart-links")
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            roots = components(links)
-        elif turn and members.isEmpty():
+    for turn in range(1, REFINE + 1):
+        # Buckets with several components, dealt to finer ones by coordinates that differ from turn to turn.
+        known = materialise(_with_root(members.select("bucket", "h"), roots, "h", "root"), "dart-known")
+        mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("top")).filter("low != top").select("bucket")
+        finer = F.expr(
+            f"transform(sequence(0, {FINER - 1}), e -> xxhash64(bucket, e, "
+            + ", ".join(f"substring(sig, 2 * pmod(xxhash64(bucket, e, {turn * FINER_ROWS + j}), {K}) + 1, 2)" for j in range(FINER_ROWS))
+            + "))"
+        )
+        open_ = known.join(mixed, "bucket", "left_semi").join(nodes, "h").select("h", "root", "sig", F.explode(finer).alias("bucket"))
+        # A hub of the first component for the members of all others, one of the last for those of the first.
+        ranked = F.struct("root", F.xxhash64("h", "bucket").alias("o"), "h", "sig")
+        hubs = open_.groupBy("bucket").agg(F.min(ranked).alias("low"), F.max(ranked).alias("top")).filter("low.root != top.root")
+        hub = F.when(F.col("root") == F.col("low.root"), F.col("top")).otherwise(F.col("low"))
+        met = open_.join(hubs, "bucket").select(F.col("h").alias("a"), F.col("sig").alias("sig_a"), hub.alias("hub"))
+        met = met.select("a", F.col("hub.h").alias("b"), "sig_a", F.col("hub.sig").alias("sig_b"))
+        # Either side may have been the hub before.
+        pairs = _agreeing(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        likely = materialise(pairs.join(done, ["a", "b"], "left_anti"), "dart-pairs")
+        if likely.isEmpty():
             break
+        fresh = materialise(verified(likely, texts), "dart-links")
+        if fresh.isEmpty():
+            break
+        tested = tested.unionByName(likely)
+        links = links.unionByName(fresh)
+        roots = components(links)
     return rows, roots
 
 
+def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``h, text`` of the texts that share a bucket. Copies fall together before the shuffle."""
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").filter(F.col("text").isNotNull())
+    wanted = members.select("h").distinct()
+    return materialise(texts.groupBy("h").agg(F.first("text").alias("text")).join(wanted, "h", "left_semi"), "dart-texts")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, class_size`` of every row; the class is named by its smallest ``doc_id``."""
     rows, roots = classes(docs)
