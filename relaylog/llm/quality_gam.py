@@ -176,8 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, threshold:
     known = labels.filter(trainable() & F.col("quality").isin(0, 1)).select("doc_id", "quality").dropDuplicates(["doc_id"])
     shares = {r.quality: r.n for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = bounded_sample(known, "quality", "doc_id", per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").limit(8 * per_class)
-    got = features(rows).join(F.broadcast(picked), "doc_id").select("features", "quality").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # The bound is put on the features, which are short, and not on the texts.
+    got = features(rows).join(F.broadcast(picked), "doc_id").select("features", "quality").limit(8 * per_class).collect()
     got = sorted((tuple(r.features), r.quality) for r in got)
     x = np.array([f for f, _ in got]).reshape(-1, len(FEATURES))
     y = np.array([q for _, q in got], float)
