@@ -36,13 +36,15 @@ def pattern_regex(pattern: Column | str) -> Column:
 
 
 def compile_routes(routes: DataFrame) -> DataFrame:
-    """``channel, pattern`` with ``seg`` (join key), ``rx`` and ``spec`` (literal prefix length).
+    """``channel, pattern`` with ``seg`` (join key), ``lit`` (text before ``*``), ``spec`` (literal prefix length) and
+    ``rx``, a regular expression for patterns with ``?``, null for all others.
 
     Patterns that are not supported take no part; ``rejected_routes`` lists them.
     """
     return routes.filter(valid_pattern("pattern")).withColumns({
         "seg": first_segment("pattern"),
-        "rx": pattern_regex("pattern"),
+        "lit": F.substring_index("pattern", "*", 1),
+        "rx": F.when(F.contains(F.substring_index("pattern", "*", 1), F.lit("?")), pattern_regex("pattern")),
         "spec": F.length(F.regexp_extract("pattern", r"^([^?*]*)", 1)),
     })
 
@@ -60,14 +62,20 @@ def route_match(messages: DataFrame, routes: DataFrame, path: str = "path") -> D
     row and needs no shuffle or ranking of its own. A route table over the broadcast bound joins
     by the same key with a shuffle.
     """
-    best_first = F.sort_array(F.collect_list(F.struct("spec", "channel", "rx")), asc=False)
+    best_first = F.sort_array(F.collect_list(F.struct("spec", "channel", "lit", "rx")), asc=False)
     candidates = compile_routes(routes).groupBy("seg").agg(best_first.alias("candidates"))
     if routes.select("channel").limit(MAX_BROADCAST_ROUTES + 1).count() <= MAX_BROADCAST_ROUTES:
         candidates = F.broadcast(candidates)
     joined = messages.withColumn("_seg", first_segment(path)).join(
         candidates.withColumnRenamed("seg", "_seg"), "_seg", "left"
     )
-    hits = F.filter("candidates", lambda c: F.rlike(F.col(path), c["rx"]))
+
+    def fits(c: Column) -> Column:
+        # Either text begins with the other; an expression is only compiled where there is a ``?``.
+        plain = F.startswith(F.col(path), c["lit"]) | F.startswith(c["lit"], F.col(path))
+        return F.when(c["rx"].isNull(), plain).otherwise(F.rlike(F.col(path), c["rx"]))
+
+    hits = F.filter("candidates", fits)
     return joined.withColumn("route", F.get(hits, 0)["channel"]).drop("_seg", "candidates")
 
 
