@@ -15,10 +15,11 @@ however long it is, besides one look at each shingle.
 * Agreement of the whole signatures drops pairs that are five standard errors below the threshold; the others are
   verified exactly, from their texts.
 * Buckets that still hold several components are refined: their members are dealt to finer buckets by further
-  coordinates, and compared with a random hub of another component, with other coordinates and hubs in every
-  round, until a round finds no link (or after ``REFINE`` rounds).
+  coordinates, and compared with the hub of a component that a hash draws, with other coordinates, components and
+  hubs in every round, until a round finds no link (or after ``REFINE`` rounds).
 
-With 30 bands of 5, a pair at exactly 0.8 shares no bucket with probability 7e-6, at 0.85 with 2e-8.
+With 30 bands of 5, a pair at
+exactly 0.8 shares no bucket with probability 7e-6, at 0.85 with 2e-8.
 
 Defined results: texts with fewer than five words are one shingle. Null texts and texts without a word are classes
 of their own. Words are compared in lower case. Repeated rows belong to one class. Extra columns are ignored.
@@ -43,7 +44,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 5
 K = BANDS * ROWS
 REFINE = 4
-FINER, FINER_ROWS = 2, 5
+FINER, FINER_ROWS = 8, 3
 PAIRS_PER_HUB = 256
 ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / K) ** 0.5
 
@@ -253,36 +254,44 @@ def classes(docs: DataFrame, sketches: DataFrame | None = None) -> tuple[DataFra
     links = verified(likely, texts)
     links = materialise(links, "dart-links")
     roots = None if links.isEmpty() else components(links)
-    tested = likely
+    tested = _ordered(likely)
     for turn in range(1, REFINE + 1):
-        # Buckets with several components, dealt to finer ones by coordinates that differ from turn to turn.
-        known = materialise(_with_root(members.select("bucket", "h"), roots, "h", "root"), "dart-known")
-        mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("top")).filter("low != top").select("bucket")
-        finer = F.expr(
-            f"transform(sequence(0, {FINER - 1}), e -> xxhash64(bucket, e, "
-            + ", ".join(f"substring(sig, 2 * pmod(xxhash64(bucket, e, {turn * FINER_ROWS + j}), {K}) + 1, 2)" for j in range(FINER_ROWS))
-            + "))"
-        )
-        open_ = known.join(mixed, "bucket", "left_semi").join(nodes, "h").select("h", "root", "sig", F.explode(finer).alias("bucket"))
-        # A hub of the first component for the members of all others, one of the last for those of the first.
-        ranked = F.struct("root", F.xxhash64("h", "bucket").alias("o"), "h", "sig")
-        hubs = open_.groupBy("bucket").agg(F.min(ranked).alias("low"), F.max(ranked).alias("top")).filter("low.root != top.root")
-        hub = F.when(F.col("root") == F.col("low.root"), F.col("top")).otherwise(F.col("low"))
-        met = open_.join(hubs, "bucket").select(F.col("h").alias("a"), F.col("sig").alias("sig_a"), hub.alias("hub"))
-        met = met.select("a", F.col("hub.h").alias("b"), "sig_a", F.col("hub.sig").alias("sig_b"))
-        # Either side may have been the hub before.
-        pairs = _agreeing(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        likely = materialise(pairs.join(done, ["a", "b"], "left_anti"), "dart-pairs")
-        if likely.isEmpty():
-            break
+        likely = materialise(_refined(_mixed(members, roots), nodes, turn).join(tested, ["a", "b"], "left_anti"), "dart-pairs")
         fresh = materialise(verified(likely, texts), "dart-links")
         if fresh.isEmpty():
             break
         tested = tested.unionByName(likely)
         links = links.unionByName(fresh)
         roots = components(links)
-    return rows, roots
+    return rows, None if links.isEmpty() else roots
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Either side may have been the hub."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``bucket, h, root, n`` of the members of buckets with several components."""
+    known = materialise(_with_root(members.select("bucket", "h"), roots, "h", "root"), "dart-known")
+    mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("top"), F.count(F.lit(1)).alias("n"))
+    return known.join(mixed.filter("low != top").select("bucket", "n"), "bucket")
+
+
+def _refined(mixed: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    """Likely pairs of members of finer buckets and their hubs, by coordinates that differ from turn to turn."""
+    finer = F.expr(
+        f"transform(sequence(0, {FINER - 1}), e -> xxhash64(bucket, e, "
+        + ", ".join(f"substring(sig, 2 * pmod(xxhash64(bucket, e, {turn * FINER_ROWS + j}), {K}) + 1, 2)" for j in range(FINER_ROWS))
+        + "))"
+    )
+    dealt = mixed.join(nodes, "h").select("h", "root", "sig", F.explode(finer).alias("bucket"))
+    # The first component in an order of the bucket's own has the hub of all others, the last one that of the first.
+    ranked = F.struct(F.xxhash64("root", "bucket", F.lit(turn)).alias("c"), "root", F.xxhash64("h", "bucket", F.lit(turn)).alias("o"), "h", "sig")
+    hubs = dealt.groupBy("bucket").agg(F.min(ranked).alias("low"), F.max(ranked).alias("top")).filter("low.root != top.root")
+    hub = F.when(F.col("root") == F.col("low.root"), F.col("top")).otherwise(F.col("low"))
+    met = dealt.join(hubs, "bucket").select(F.col("h").alias("a"), F.col("sig").alias("sig_a"), hub.alias("hub"))
+    return _ordered(_agreeing(met.select("a", F.col("hub.h").alias("b"), "sig_a", F.col("hub.sig").alias("sig_b"))))
 
 
 def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:

@@ -192,6 +192,13 @@ def test_classes_equal_brute_force(spark, tiny):
     assert sorted(kept) == sorted(set(want.values()))
 
 
+def test_refinement_draws_hubs_of_all_components(spark):
+    nodes = spark.createDataFrame([(h, bytes(2 * dart_minhash.K)) for h in range(12)], "h bigint, sig binary")
+    mixed = nodes.selectExpr("1L as bucket", "h", "h div 2 as root", "12L as n")
+    met = {(r.a // 2, r.b // 2) for turn in range(1, 5) for r in dart_minhash._refined(mixed, nodes, turn).collect()}
+    assert {(a, b) for a, b in met if 0 < a < b < 5}
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     element = np.arange(60, dtype=np.uint64) * np.uint64(7919)
