@@ -16,9 +16,12 @@ however long it is, besides one look at each shingle.
   verified exactly, from their texts.
 * Buckets that still hold several components are refined: their members are dealt to finer buckets by further
   coordinates, and compared with the hub of a component that a hash draws, with other coordinates, components and
-  hubs in every round, until a round finds no link (or after ``REFINE`` rounds).
+  hubs in every round, until a round finds no link (or after ``REFINE`` rounds). This joins most of what belongs
+  together and only saves work for the last step.
+* What is still mixed is compared in full: every pair of members of one bucket that are in different components, in
+  salted blocks, so that no task holds more than two blocks.
 
-With 30 bands of 5, a pair at
+So a pair is lost only if it shares no bucket, or by the bound of five standard errors. With 30 bands of 5, a pair at
 exactly 0.8 shares no bucket with probability 7e-6, at 0.85 with 2e-8.
 
 Defined results: texts with fewer than five words are one shingle. Null texts and texts without a word are classes
@@ -45,6 +48,7 @@ BANDS, ROWS = 30, 5
 K = BANDS * ROWS
 REFINE = 4
 FINER, FINER_ROWS = 8, 3
+LEAST_BLOCK, BLOCK = 256, 4096
 PAIRS_PER_HUB = 256
 ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / K) ** 0.5
 
@@ -247,7 +251,7 @@ def classes(docs: DataFrame, sketches: DataFrame | None = None) -> tuple[DataFra
     members = materialise(_hubs(bands, "xxhash64(h)").select("bucket", "h", "b"), "dart-buckets")
     pairs = members.filter("h != b").select(F.col("h").alias("a"), "b").distinct()
     likely = materialise(_likely(pairs, nodes), "dart-pairs")
-    if likely.isEmpty():
+    if members.isEmpty():
         return rows, None
 
     texts = _texts(docs, members)
@@ -263,6 +267,11 @@ def classes(docs: DataFrame, sketches: DataFrame | None = None) -> tuple[DataFra
         tested = tested.unionByName(likely)
         links = links.unionByName(fresh)
         roots = components(links)
+    likely = materialise(_across(_mixed(members, roots), nodes).join(tested, ["a", "b"], "left_anti"), "dart-pairs")
+    fresh = materialise(verified(likely, texts), "dart-links")
+    if not fresh.isEmpty():
+        links = links.unionByName(fresh)
+        roots = components(links)
     return rows, None if links.isEmpty() else roots
 
 
@@ -294,6 +303,71 @@ def _refined(mixed: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     return _ordered(_agreeing(met.select("a", F.col("hub.h").alias("b"), "sig_a", F.col("hub.sig").alias("sig_b"))))
 
 
+def _across(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All likely pairs of members of one bucket that are in different components.
+
+    A bucket is cut into blocks by a hash of the members; a member goes to the units of its block and each block.
+    """
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.lit(8), F.ceil(F.col("n") / LEAST_BLOCK))).cast("int")
+    placed = mixed.join(nodes, "h").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("h", "bucket"), F.col("blocks")).cast("int"))
+    dealt = placed.select("bucket", "h", "root", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "root", "h", "sig")
+    units = units.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "own", "root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            unit = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            own, root, h = (unit.column(c).to_numpy() for c in ("own", "root", "h"))
+            sig = np.frombuffer(b"".join(unit.column("sig").to_pylist()), "<u2").reshape(len(h), K)
+            return _ordered_batch(h, *_unit_pairs(own, root, sig, unit.column("lo")[0] == unit.column("hi")[0]))
+
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "lo", "hi")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start == end:
+                    continue
+                if held and key != tuple(keys[start]):
+                    yield found(held)
+                    held = []
+                key = tuple(keys[start])
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield found(held)
+
+    return units.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _ordered_batch(h: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.minimum(h[i], h[j])), pa.array(np.maximum(h[i], h[j]))], ["a", "b"])
+
+
+def _unit_pairs(own: np.ndarray, root: np.ndarray, sig: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs with different roots that agree often enough: within the one block, or between the two."""
+    least = int(np.ceil(ESTIMATE * K))
+    left = np.arange(len(own)) if alone else np.flatnonzero(own == own[0])
+    right = left if alone else np.flatnonzero(own != own[0])
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(left), LEAST_BLOCK):
+        rows = left[at : at + LEAST_BLOCK]
+        # Rows are ordered by root: those of one large component are not compared with each other.
+        columns = right[root[right] != root[rows[0]]] if (root[rows] == root[rows[0]]).all() else right
+        if not len(columns):
+            continue
+        same = np.zeros((len(rows), len(columns)), np.uint8)
+        a, b = np.ascontiguousarray(sig[rows].T), np.ascontiguousarray(sig[columns].T)
+        for k in range(K):
+            same += a[k][:, None] == b[k][None, :]
+        i, j = np.nonzero((same >= least) & (root[rows][:, None] != root[columns][None, :]))
+        i, j = rows[i], columns[j]
+        once = (i < j) if alone else np.ones(len(i), bool)
+        out_i.append(i[once])
+        out_j.append(j[once])
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
 def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``h, text`` of the texts that share a bucket. Copies fall together before the shuffle."""
     texts = docs.select(F.xxhash64("text").alias("h"), "text").filter(F.col("text").isNotNull())

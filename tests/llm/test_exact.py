@@ -192,6 +192,48 @@ def test_classes_equal_brute_force(spark, tiny):
     assert sorted(kept) == sorted(set(want.values()))
 
 
+def spread_group(seed, versions, copies, words=300):
+    """Edited versions of one text, each with own near copies, as texts by number."""
+    rng = np.random.default_rng(seed)
+
+    def edited(text, low, high):
+        out = list(text)
+        for at in rng.choice(words, rng.integers(low, high + 1), replace=False):
+            out[at] = f"e{rng.integers(1 << 40)}"
+        return out
+
+    base = [f"b{i}" for i in range(words)]
+    texts = []
+    for _ in range(versions):
+        version = edited(base, 4, 8)
+        texts += [version, *(edited(version, 1, 3) for _ in range(copies))]
+    return {i: " ".join(texts[k]) for i, k in enumerate(rng.permutation(len(texts)))}
+
+
+def test_no_link_is_lost_in_a_spread_group(spark):
+    texts = spread_group(3, 300, 1)
+    owner, element, weight = dart_minhash.weighted_shingles(list(texts.values()), dart_minhash.word_hashes())
+    cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+    sets = [(element[a:b], weight[a:b]) for a, b in zip(cut, cut[1:])]
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    lost = [(i, j) for i in range(len(sets)) for j in range(i) if got[i] != got[j] and dart_minhash.similarity(sets[i], sets[j]) >= 0.8]
+    assert not lost and len(set(got.values())) > 1
+
+
+def test_blocks_find_every_pair_of_two_components(monkeypatch):
+    monkeypatch.setattr(dart_minhash, "LEAST_BLOCK", 4)
+    rng = np.random.default_rng(1)
+    root = np.sort(rng.integers(0, 5, 30))
+    base = rng.integers(0, 9, dart_minhash.K)
+    sig = np.where(rng.random((30, dart_minhash.K)) < rng.uniform(0, 0.5, (30, 1)), rng.integers(9, 99, (30, dart_minhash.K)), base).astype("<u2")
+    own = np.repeat([0, 1], 15)
+    close = (sig[:, None] == sig[None]).mean(axis=2) >= dart_minhash.ESTIMATE
+    for alone in (True, False):
+        want = {(i, j) for i in range(30) for j in range(i + 1, 30) if close[i, j] and root[i] != root[j] and (alone or own[i] != own[j])}
+        i, j = dart_minhash._unit_pairs(own, root, sig, alone)
+        assert want and sorted(zip(i.tolist(), j.tolist())) == sorted(want)
+
+
 def test_refinement_draws_hubs_of_all_components(spark):
     nodes = spark.createDataFrame([(h, bytes(2 * dart_minhash.K)) for h in range(12)], "h bigint, sig binary")
     mixed = nodes.selectExpr("1L as bucket", "h", "h div 2 as root", "12L as n")
