@@ -1,7 +1,8 @@
 """Main text of web pages by scoring the element tree.
 
 The page becomes a tree. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are cut off by their elements, roles and class names. Each paragraph then earns points for its length
+comments are cut off by their elements, roles and class names. By its name alone no element goes that holds an
+article, main element or first heading, or most of the paragraph text; there the points decide. Each paragraph then earns points for its length
 and its commas and passes them on to its ancestors, less the further up; the share of text in links is taken off
 a container's points. The best container is kept, with those of its siblings that read like the same article.
 
@@ -33,7 +34,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math object canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg canvas".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td "
@@ -55,6 +56,8 @@ CUT_NAMES = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "pagination pager skip masthead header paywall teaser teasers hidden".split()
 )
+# What follows one of these in a name tells of a state or a part, not of the element: has-sidebar, overflow-hidden.
+MODIFIERS = frozenset("has no not with without overflow".split())
 KEEP_TAGS = frozenset("html body article main".split())
 GOOD_NAMES = frozenset("article body content entry main page post story text blog prose".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd div section article h1 h2 h3 h4 h5 h6".split())
@@ -135,7 +138,7 @@ def parse(page: str) -> Node:
 
 
 def cut_off(node: Node, in_article: bool) -> bool:
-    """Whether an element is no part of an article, by its name, role, class or id."""
+    """Whether an element is no part of an article, by its tag, role or style."""
     tag, attrs = node.tag, node.attrs
     if tag in CUT_TAGS or tag in RAW:
         return True
@@ -145,11 +148,20 @@ def cut_off(node: Node, in_article: bool) -> bool:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    if attrs.get("role", "").lower() in CUT_ROLES:
-        return True
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    parts = {p.lower() for p in NAME_PARTS.findall(named)}
-    return bool(parts & CUT_NAMES) and not (tag in HEADINGS and "header" in parts)
+    return attrs.get("role", "").lower() in CUT_ROLES
+
+
+def named_off(node: Node) -> bool:
+    """Whether a part of the class or id names something that is no part of an article."""
+    if not node.attrs:
+        return False
+    parts = set()
+    for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".split():
+        for part in NAME_PARTS.findall(name):
+            if part.lower() in MODIFIERS:
+                break
+            parts.add(part.lower())
+    return bool(parts & CUT_NAMES) and not (node.tag in HEADINGS and "header" in parts)
 
 
 def prune(root: Node) -> None:
@@ -159,6 +171,51 @@ def prune(root: Node) -> None:
         inside = inside or node.tag in ("article", "main")
         node.children = [c for c in node.children if not isinstance(c, Node) or not cut_off(c, inside)]
         stack.extend((c, inside) for c in node.children if isinstance(c, Node))
+    prose, core = holdings(root)
+    # Paragraph text of articles and main elements.
+    told = sum(prose[id(n)] for n in core_elements(root))
+    stack = [(root, False, False)]
+    while stack:
+        node, in_article, in_core = stack.pop()
+        in_article = in_article or node.tag == "article"
+        in_core = in_core or node.tag in ("article", "main")
+
+        def stays(c: Node) -> bool:
+            # An article within an article is a reader's comment or the like.
+            if c.tag in KEEP_TAGS or not named_off(c) or core[id(c)] and not in_article:
+                return True
+            return 2 * prose[id(c)] > prose[id(root)] and (in_core or not told)
+
+        node.children = [c for c in node.children if not isinstance(c, Node) or stays(c)]
+        stack.extend((c, in_article, in_core) for c in node.children if isinstance(c, Node))
+
+
+def core_elements(root: Node) -> list[Node]:
+    """The outermost articles and main elements that are not named as something else."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("article", "main") and not named_off(node):
+            out.append(node)
+        else:
+            stack.extend(c for c in node.children if isinstance(c, Node))
+    return out
+
+
+def holdings(root: Node) -> tuple[dict[int, float], dict[int, bool]]:
+    """Of every element: its paragraph text outside links, and whether it holds an article, main element or first heading."""
+    facts, order = measure(root)
+    prose: dict[int, float] = {}
+    core: dict[int, bool] = {}
+    for node in order:
+        below = [c for c in node.children if isinstance(c, Node)]
+        length, links, _ = facts[id(node)]
+        if node.tag in PARAGRAPHS and not any(c.tag in BLOCKS for c in below):
+            prose[id(node)] = length - links if length >= LEAST_PARAGRAPH else 0
+        else:
+            prose[id(node)] = sum(prose[id(c)] for c in below)
+        core[id(node)] = any(core[id(c)] or c.tag in ("article", "main", "h1") and not named_off(c) for c in below)
+    return prose, core
 
 
 def measure(root: Node) -> tuple[dict[int, tuple[int, int, int]], list[Node]]:

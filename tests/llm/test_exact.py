@@ -304,6 +304,29 @@ def test_page_without_article_element():
     assert html_extract.extract(page) == "\n".join(["Head", text.strip(), text.strip()])
 
 
+@pytest.mark.parametrize("wrapper", [
+    "div class='layout has-sidebar'", "div class='overflow-hidden'", "div id='page' class='no-sidebar with-comments'", "section class='post related-2'",
+    "div class='sidebar-left'",
+])
+def test_a_named_wrapper_keeps_the_article(wrapper):
+    text = "This paragraph has commas, clauses, and enough words to count as prose. " * 3
+    side = "<div class='sidebar'><p>Aside text, long enough, to count as prose.</p></div><div class='comments'><p>I like this, really, a lot of it.</p></div>"
+    want = "\n".join(["Head", text.strip(), text.strip()])
+    for inner in (f"<article><h1>Head</h1><p>{text}</p><p>{text}</p></article>", f"<div><h2>Head</h2><p>{text}</p><p>{text}</p></div>"):
+        assert html_extract.extract(f"<body><{wrapper}>{inner}{side}</{wrapper.split()[0]}></body>") == want
+
+
+def test_comments_of_an_article_stay_cut_even_if_longer():
+    remark = "<li><article class='comment-body'><p>I like this article, really, a lot, and more.</p></article></li>"
+    page = f"<body><article><h1>Head</h1><p>A short story, but one of its own.</p></article><div id='comments'><ol>{remark * 9}</ol></div></body>"
+    assert html_extract.extract(page) == "Head\nA short story, but one of its own."
+
+
+def test_formulas_and_fallbacks_stay():
+    page = "<article><p>The sum, <math><mi>a</mi><mo>+</mo><mi>b</mi></math>, and <object data=x>its picture</object>, of two numbers.</p></article>"
+    assert html_extract.extract(page) == "The sum, a+b, and its picture, of two numbers."
+
+
 def test_given_pages(spark, small):
     plain = lambda h: [" ".join(__import__("html").unescape(re.sub("<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", re.search("<article>(.*?)</article>", h, re.S)[1])]
     pages = {r.page_id: r.html for r in table(spark, small, "pages").collect()}
