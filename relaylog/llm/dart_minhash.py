@@ -50,6 +50,8 @@ REFINE = 4
 FINER, FINER_ROWS = 8, 3
 LEAST_BLOCK, BLOCK = 256, 4096
 PAIRS_PER_HUB = 256
+# What str.split takes for white space, in sketches.
+SPACES = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
 ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / K) ** 0.5
 
 
@@ -393,7 +395,7 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     placed = _with_root(rows.select("doc_id", "h").filter(F.col("h").isNotNull()), roots, "h", "root")
     keeper = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("keep"))
     keeper = keeper.select(F.col("keep.doc_id").alias("_id"), F.col("keep.h").alias("_h"))
-    wordless = F.coalesce(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), F.lit("")) == ""
+    wordless = F.coalesce(F.translate("text", SPACES, ""), F.lit("")) == ""
     marked = docs.withColumn("_h_", F.xxhash64("text")).withColumn("_bare_", wordless)
     kept = marked.filter(~F.col("_bare_")).join(
         keeper, (F.col("_h") == F.col("_h_")) & F.col("doc_id").eqNullSafe(F.col("_id"))

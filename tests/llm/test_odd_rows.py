@@ -81,6 +81,12 @@ def test_defined_values(docs, items):
     assert len({r.shard for r in shards if r.size == 29}) == 1
 
 
+def test_rows_without_words_all_stay(spark):
+    texts = [None, "", "\x1c\x1d \x1e\x1f", "\x1c\x1d \x1e\x1f", "\x85\u2003\u3000", "\u200b", "a word"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in dart_minhash.keep_representatives(docs).collect()) == list(range(len(texts)))
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]], ids=[n for n, _ in corpus_pipeline.STAGES[:-1]])
 def test_stages_keep_columns_and_rows(spark, docs, nothing, tiny, stage):
     kept = stage(spark, docs, tiny)
