@@ -6,7 +6,7 @@ one bit per position of every rule, one mask of bits per byte, and two masks of
 every rule at once, and numpy does so for all URLs of a batch.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and fits no rule of a host. Repeated
-rows get equal results, extra columns are ignored. Of several rules that fit, the longest wins, among equally
+rows get equal results, extra columns are ignored. For the filter's own rules an empty path is ``/``. Of several rules that fit, the longest wins, among equally
 long ones a blocking rule.
 """
 
@@ -155,6 +155,9 @@ def judge_urls(
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             hosts, paths = part.column("host").to_pylist(), part.column("path").to_pylist()
             fits = automaton.run([canonical(h, p) for h, p in zip(hosts, paths, strict=True)])
+            bare = [i for i in range(len(hosts)) if hosts[i] and not paths[i]]
+            if bare:
+                fits[bare, len(rules) :] = automaton.run([canonical(hosts[i], "/") for i in bare])[:, len(rules) :]
             rule: list = [None] * len(hosts)
             verdict: list = [default] * len(hosts)
             mine: list = [None] * len(hosts)

@@ -130,6 +130,13 @@ def test_rules(spark):
     assert [got[i] for i in range(len(urls))] == list(urls.values())
 
 
+def test_own_rules_need_no_path(spark):
+    urls = {"http://x.casino.com": "block", "http://x.casino.com?q=1": "block", "http://casino-x.com#a": "block", "http://x.com?casino.": "allow", "http://net": "allow"}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: (r.path, r.rule, r.verdict) for r in url_automaton.judge_urls(pages).collect()}
+    assert [got[i] for i in range(len(urls))] == [("", None, v) for v in urls.values()]
+
+
 # --- quality rules ---
 
 
