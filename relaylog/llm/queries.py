@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaylog.llm import (
-    byte_bpe, dart_minhash, decontaminate, host_rules, html_extract, kd_shards, language_id, quality_gam, toxicity_crf, url_automaton,
+    byte_bpe, dart_minhash, decontaminate, host_rules, html_extract, kd_shards, language_id, periodic_runs, quality_gam,
+    toxicity_crf, url_automaton,
 )
 
 
@@ -75,11 +79,35 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score_quality(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
 
 
+def planted_periods(ids: list, counts: np.ndarray) -> np.ndarray:
+    """For every word the place of the word to stand there: the tails of some texts, by their ids, get a period.
+
+    A null id plants nothing.
+    """
+    begin = np.cumsum(counts) - counts
+    place = np.arange(int(counts.sum())) - np.repeat(begin, counts)
+    for i, (doc_id, n) in enumerate(zip(ids, counts.tolist(), strict=True)):
+        if doc_id is None or not n:
+            continue
+        h = zlib.crc32(str(doc_id).encode())
+        if h % 10 == 0:
+            g = h // 10
+            tail = g % n
+            p = 1 + (n - tail) // (3 + g % 8)
+            place[begin[i] + tail : begin[i] + n] = tail + np.arange(n - tail) % p
+    return place
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"), planted_periods)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_toxicity, op3_minhash_near_dedup, op4_url_filters, op5_quality_rules, op6_language_id,
         op7_byte_bpe, op8_decontamination, op9_sharding, op10_quality_classifier,
+        op12_periodic_runs,
     )
 }
 
