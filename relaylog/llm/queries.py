@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaylog.llm import (
-    byte_bpe, dart_minhash, decontaminate, host_rules, html_extract, kd_shards, language_id, periodic_runs, quality_gam,
+    byte_bpe, chat_format, dart_minhash, decontaminate, host_rules, html_extract, kd_shards, language_id, periodic_runs, quality_gam,
     toxicity_crf, url_automaton,
 )
 
@@ -102,12 +102,22 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(table(spark, sf_dir, "documents"), planted_periods)
 
 
+PLANTED_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(PLANTED_TURNS, "conv_id bigint, turn bigint, role string, text string"))
+    formatted = chat_format.format_turns(turns, vocabulary())
+    return chat_format.conversation_digests(chat_format.read_back(formatted, vocabulary()))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_toxicity, op3_minhash_near_dedup, op4_url_filters, op5_quality_rules, op6_language_id,
         op7_byte_bpe, op8_decontamination, op9_sharding, op10_quality_classifier,
-        op12_periodic_runs,
+        op12_periodic_runs, op13_chat_format,
     )
 }
 
@@ -118,6 +128,15 @@ _OWN = "|".join(
     for before, after in ((r"^([^/]*)\.", r"\.[^/]*/"), (r"^([^/]*)\.", r"-[^/]*/"), ("^[^/]*-", r"\.[^/]*/"), ("^[^/]*-", "-[^/]*/"))
 )
 
+
+
+def _escaped(column: str) -> str:
+    inner = "|".join(c[1:-1] for c in chat_format.CONTROLS if c[0] == "[")
+    return (
+        rf"regexp_replace(regexp_replace({column}, '<(\\*/s>)', '<\\\1', 'g'), '\[(\\*(?:{inner})\])', '[\\\1', 'g')"
+    )
+
+
 ORACLE = {
     "op4_url_filters": f"""
         with parts as (
@@ -164,6 +183,19 @@ ORACLE = {
             (not base_failed and coalesce(rate, 0) <= {host_rules.HOST_LIMIT}) as kept
         from judged left join verdicts using (host)
     """,
+    "op13_chat_format": f"""
+        with turns as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all values {", ".join(str(row) for row in PLANTED_TURNS)}),
+        escaped as (
+            select *, {_escaped("text")} as safe_text, {_escaped("role")} as safe_role, role = 'assistant' as scored from turns)
+        select conv_id, count(*) as n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+            sum(case when scored then length(text) else 0 end)::bigint as loss_chars,
+            sha256(string_agg(case when scored then text else '' end, '' order by turn nulls first, role, text)) as loss_sha256,
+            sum(length(safe_text) + case role
+                when 'assistant' then length('</s>') when 'user' then length('[INST][/INST]') when 'system' then length('[SYS][/SYS]')
+                else length('[TURN][SAYS][/TURN]') + length(safe_role) end)::bigint as formatted_chars
+        from escaped group by conv_id
+    """,
 }
-
-
