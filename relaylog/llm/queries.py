@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from relaylog.llm import (
     byte_bpe, chat_format, dart_minhash, decontaminate, host_rules, html_extract, kd_shards, language_id, periodic_runs, quality_gam,
-    toxicity_crf, url_automaton,
+    ranked_search, toxicity_crf, url_automaton,
 )
 
 
@@ -79,6 +79,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score_quality(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def planted_periods(ids: list, counts: np.ndarray) -> np.ndarray:
     """For every word the place of the word to stand there: the tails of some texts, by their ids, get a period.
 
@@ -117,7 +121,7 @@ QUERIES = {
     for f in (
         op1_html_extraction, op2_toxicity, op3_minhash_near_dedup, op4_url_filters, op5_quality_rules, op6_language_id,
         op7_byte_bpe, op8_decontamination, op9_sharding, op10_quality_classifier,
-        op12_periodic_runs, op13_chat_format,
+        op11_ranked_search, op12_periodic_runs, op13_chat_format,
     )
 }
 
@@ -137,6 +141,9 @@ def _escaped(column: str) -> str:
     )
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLE = {
     "op4_url_filters": f"""
         with parts as (
@@ -183,6 +190,25 @@ ORACLE = {
             (not base_failed and coalesce(rate, 0) <= {host_rules.HOST_LIMIT}) as kept
         from judged left join verdicts using (host)
     """,
+    "op11_ranked_search": f"""
+        with asked as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+        texts as (select row_number() over () as row_no, doc_id, {_TERMS} as terms from documents),
+        corpus as (select count(*) as n_docs, sum(len(terms)) as n_terms from texts where len(terms) > 0),
+        postings as (
+            select row_no, doc_id, n, term, count(*) as tf
+            from (select row_no, doc_id, len(terms) as n, unnest(terms) as term from texts) group by all),
+        weights as (
+            select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint as w
+            from (select term, count(*) as df from postings group by term), corpus),
+        scores as (
+            select item_id, row_no, doc_id,
+                sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs::bigint) // n_terms::bigint))))::bigint as score
+            from asked join postings using (term) join weights using (term), corpus group by item_id, row_no, doc_id),
+        placed as (
+            select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+            from scores where score > 0)
+        select item_id, rank, doc_id, score from placed where rank <= 50
+    """,
     "op13_chat_format": f"""
         with turns as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
