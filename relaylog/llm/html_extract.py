@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -31,6 +32,8 @@ TOKEN = re.compile(
     r"""|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>""",
     re.S,
 )
+# What is no text after the last ">" of a page.
+OPEN_END = re.compile(r"<[!?].*", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,13 +44,15 @@ BLOCKS = frozenset(
     "tfoot th thead tr ul".split()
 )
 ENDS_PARAGRAPH = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary"}
-# An opening tag closes an open one of these, up to the nearest of the enclosing elements.
-CLOSES = {
-    "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
-    "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
-    "option": (("option",), ("select", "datalist")), "body": (("head",), ("html",)),
+# An opening tag closes an open element of its group, up to the nearest of the enclosing elements.
+GROUPS = {
+    "p": (("p",), ("td", "th", "button", "table")), "li": (("li",), ("ul", "ol", "menu", "dir")), "dl": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "option": (("option",), ("select", "datalist")),
+    "head": (("head",), ("html",)),
 }
-CUT_TAGS = frozenset("nav footer aside form button select input textarea dialog menu label fieldset audio video head".split())
+CLOSES = {"li": "li", "dt": "dl", "dd": "dl", "tr": "tr", "td": "td", "th": "td", "option": "option", "body": "head"}
+GROUPED = frozenset(t for members, within in GROUPS.values() for t in (*members, *within))
+CUT_TAGS = frozenset("nav footer aside form button select input textarea dialog menu fieldset audio video head".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 CUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu "
@@ -56,6 +61,8 @@ CUT_NAMES = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "pagination pager skip masthead header paywall teaser teasers hidden".split()
 )
+# Inside an article these may as well name a part of it, so prose decides.
+WEAK_NAMES = frozenset("discussion header masthead teaser teasers overlay banner rail aside foot respond reply replies hidden".split())
 # What follows one of these in a name tells of a state or a part, not of the element: has-sidebar, overflow-hidden.
 MODIFIERS = frozenset("has no not with without overflow".split())
 KEEP_TAGS = frozenset("html body article main".split())
@@ -74,6 +81,8 @@ class Node:
     children: list = field(default_factory=list)  # nodes and texts
     points: float = 0.0
     scored: bool = False
+    # By name in GROUPS, the element that a new one of the group would close here.
+    open: dict = field(default_factory=dict)
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -83,17 +92,42 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def opened(node: Node, around: dict) -> dict:
+    """What a new element of each group would close inside ``node``; ``around`` says it for its parent."""
+    out = dict(around)
+    for group, (members, within) in GROUPS.items():
+        if node.tag in within:
+            out.pop(group, None)
+        elif node.tag in members:
+            out.setdefault(group, node)
+    return out
+
+
 def parse(page: str) -> Node:
-    """The element tree, without comments and without the content of scripts and the like."""
+    """The element tree, without comments and without the content of scripts and the like.
+
+    Linear in the page: an end tag walks up only where such an element is open, what an opening tag closes is known
+    at every element, and no tag is looked for after the last ``>``.
+    """
     root = Node("html", {}, None)
-    at = root
-    place, size = 0, len(page)
+    at, counts = root, Counter()
+    place, size, last = 0, len(page), page.rfind(">")
+
+    def leave(node: Node) -> Node:
+        """Close all elements up to ``node``."""
+        here = at
+        while here is not node:
+            counts[here.tag] -= 1
+            here = here.parent
+        counts[node.tag] -= 1
+        return node.parent
+
     while place < size:
-        found = TOKEN.search(page, place)
+        found = TOKEN.search(page, place) if place <= last else OPEN_END.search(page, place)
         text = page[place : found.start() if found else size]
         if text:
             at.children.append(text)
-        if not found:
+        if not found or place > last:
             break
         place = found.end()
         tag = found["tag"] or found["tag2"]
@@ -101,38 +135,30 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if found["end"] or found["end2"]:
-            node = at
-            while node is not root and node.tag != tag:
-                # A closing tag does not reach out of a table cell or an article for another inline tag.
-                node = node.parent
-            if node is not root:
-                at = node.parent
+            if counts[tag]:
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                at = leave(node)
             continue
         raw = found["attrs"] or found["attrs2"] or ""
         if tag == "html":
             root.attrs = {**attributes(raw), **root.attrs} if raw else root.attrs
             continue
-        if tag in ENDS_PARAGRAPH:
-            node = at
-            while node is not root and node.tag != "p" and node.tag not in ("td", "th", "button", "table"):
-                node = node.parent
-            if node.tag == "p":
-                at = node.parent
-        if tag in CLOSES:
-            closed, within = CLOSES[tag]
-            node = at
-            while node is not root and node.tag not in within:
-                if node.tag in closed:
-                    at = node.parent
-                node = node.parent
+        for group in ("p" if tag in ENDS_PARAGRAPH else None, CLOSES.get(tag)):
+            if group and at.open.get(group):
+                at = leave(at.open[group])
         node = Node(tag, attributes(raw) if raw else {}, at)
         at.children.append(node)
         if tag in VOID or raw.endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, place)
-            place = end.end() if end else size
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, place)
+            shut = page.find(">", end.start()) if end else -1
+            place = shut + 1 if shut >= 0 else size
             continue
+        node.open = opened(node, at.open) if tag in GROUPED else at.open
+        counts[tag] += 1
         at = node
     return root
 
@@ -142,6 +168,8 @@ def cut_off(node: Node, in_article: bool) -> bool:
     tag, attrs = node.tag, node.attrs
     if tag in CUT_TAGS or tag in RAW:
         return True
+    if tag == "label" and ("for" in attrs or any(isinstance(c, Node) and c.tag in ("input", "select", "textarea") for c in node.children)):
+        return True
     if tag == "header":
         return not in_article or not any(isinstance(c, Node) and c.tag in HEADINGS for c in node.children)
     if not attrs or tag in KEEP_TAGS:
@@ -151,7 +179,7 @@ def cut_off(node: Node, in_article: bool) -> bool:
     return attrs.get("role", "").lower() in CUT_ROLES
 
 
-def named_off(node: Node) -> bool:
+def named_off(node: Node, names: frozenset[str] = CUT_NAMES) -> bool:
     """Whether a part of the class or id names something that is no part of an article."""
     if not node.attrs:
         return False
@@ -161,7 +189,7 @@ def named_off(node: Node) -> bool:
             if part.lower() in MODIFIERS:
                 break
             parts.add(part.lower())
-    return bool(parts & CUT_NAMES) and not (node.tag in HEADINGS and "header" in parts)
+    return bool(parts & names) and not (node.tag in HEADINGS and "header" in parts)
 
 
 def prune(root: Node) -> None:
@@ -171,7 +199,7 @@ def prune(root: Node) -> None:
         inside = inside or node.tag in ("article", "main")
         node.children = [c for c in node.children if not isinstance(c, Node) or not cut_off(c, inside)]
         stack.extend((c, inside) for c in node.children if isinstance(c, Node))
-    prose, core = holdings(root)
+    facts, prose, core = holdings(root)
     # Paragraph text of articles and main elements.
     told = sum(prose[id(n)] for n in core_elements(root))
     stack = [(root, False, False)]
@@ -184,6 +212,9 @@ def prune(root: Node) -> None:
             # An article within an article is a reader's comment or the like.
             if c.tag in KEEP_TAGS or not named_off(c) or core[id(c)] and not in_article:
                 return True
+            if in_core and not named_off(c, CUT_NAMES - WEAK_NAMES):
+                length, links, _ = facts[id(c)]
+                return prose[id(c)] >= LEAST_PARAGRAPH and 4 * links < length
             return 2 * prose[id(c)] > prose[id(root)] and (in_core or not told)
 
         node.children = [c for c in node.children if not isinstance(c, Node) or stays(c)]
@@ -202,8 +233,8 @@ def core_elements(root: Node) -> list[Node]:
     return out
 
 
-def holdings(root: Node) -> tuple[dict[int, float], dict[int, bool]]:
-    """Of every element: its paragraph text outside links, and whether it holds an article, main element or first heading."""
+def holdings(root: Node) -> tuple[dict, dict[int, float], dict[int, bool]]:
+    """Of every element: measures, paragraph text outside links, and whether it holds an article, main element or first heading."""
     facts, order = measure(root)
     prose: dict[int, float] = {}
     core: dict[int, bool] = {}
@@ -215,7 +246,7 @@ def holdings(root: Node) -> tuple[dict[int, float], dict[int, bool]]:
         else:
             prose[id(node)] = sum(prose[id(c)] for c in below)
         core[id(node)] = any(core[id(c)] or c.tag in ("article", "main", "h1") and not named_off(c) for c in below)
-    return prose, core
+    return facts, prose, core
 
 
 def measure(root: Node) -> tuple[dict[int, tuple[int, int, int]], list[Node]]:
@@ -270,15 +301,18 @@ def discounted(node: Node, facts: dict) -> float:
 
 
 def chosen(best: Node, facts: dict) -> list:
-    """The best container and those siblings that belong to it."""
+    """The best container and those siblings that belong to it.
+
+    Where the container lies in an article (or main element) the whole article is meant, and its siblings are asked.
+    """
     around = best
     while around.parent is not None and around.tag not in ("article", "main"):
         around = around.parent
-    if around.tag in ("article", "main"):
-        return [around]
+    least = max(10.0, 0.2 * discounted(best, facts))
+    in_article = around.tag in ("article", "main")
+    best = around if in_article else best
     if best.parent is None:
         return [best]
-    least = max(10.0, 0.2 * discounted(best, facts))
     out = []
     before = True
     for node in best.parent.children:
@@ -288,6 +322,12 @@ def chosen(best: Node, facts: dict) -> list:
         elif isinstance(node, Node):
             length, links, _ = facts[id(node)]
             density = links / max(1, length)
+            if in_article:
+                # Beside an article only another article, or a heading above it within the main element.
+                fits = node.tag == "article" and not named_off(node) or before and node.tag in HEADINGS and best.parent.tag == "main"
+                if fits and density < 0.5 and (node.tag != "article" or discounted(node, facts) >= least):
+                    out.append(node)
+                continue
             heading = before and node.tag in HEADINGS
             prose = node.tag in ("p", "blockquote", "pre") and density < 0.25 and length >= LEAST_PARAGRAPH
             if heading or prose or discounted(node, facts) >= least and density < 0.5:

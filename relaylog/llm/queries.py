@@ -158,7 +158,7 @@ ORACLE = {
                 row_number() over (partition by n.page_id order by length(r.host || r.path) desc, r.verdict desc) as place
             from named n join rules r on (n.host = r.host or ends_with(n.host, '.' || r.host)) and starts_with(n.path, r.path))
         select n.page_id, n.host, n.path, f.rule,
-            coalesce(f.verdict, case when regexp_matches('.' || n.host || n.path, '(?s){_OWN}') then 'block' else 'allow' end) as verdict
+            coalesce(f.verdict, case when regexp_matches('.' || n.host || case when n.path = '' and n.host <> '' then '/' else n.path end, '(?s){_OWN}') then 'block' else 'allow' end) as verdict
         from named n left join fits f on f.page_id = n.page_id and f.place = 1
     """,
     "op5_quality_rules": f"""

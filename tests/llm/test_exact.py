@@ -339,3 +339,73 @@ def test_given_pages(spark, small):
     pages = {r.page_id: r.html for r in table(spark, small, "pages").collect()}
     for r in QUERIES["op1_html_extraction"](spark, small).collect():
         assert r.text == "\n".join(b for b in plain(pages[r.page_id]) if b) and r.n_chars == len(r.text)
+
+
+PROSE = ("This paragraph has commas, clauses, and enough words to count as prose. " * 3).strip()
+
+
+@pytest.mark.parametrize("around", ["%s", "<main>%s</main>", "<div><div>%s</div></div>"])
+def test_sibling_articles(around):
+    page = f"<article><h1>A</h1><p>A {PROSE}</p></article><article><p>B {PROSE}</p></article><article class=teaser><a href=x>{PROSE}</a></article>"
+    assert html_extract.extract(f"<body>{around % page}</body>") == f"A\nA {PROSE}\nB {PROSE}"
+
+
+def test_names_do_not_cut_prose_of_an_article():
+    page = (
+        f"<article><h1>T</h1><p class=header>Lead {PROSE}</p><div class=ad>{PROSE}</div><p>An <label>own</label> word. {PROSE}</p>"
+        f"<section class=discussion><h2>Discussion</h2><p>D {PROSE}</p><div class=comments><p>C {PROSE}</p></div></section>"
+        f"<div class=rail><a href=x>{PROSE}</a></div><label for=q>gone</label></article>"
+    )
+    assert html_extract.extract(page) == f"T\nLead {PROSE}\nAn own word. {PROSE}\nDiscussion\nD {PROSE}"
+
+
+def test_ties_of_containers():
+    page = f"<body><div><p>A {PROSE}</p></div><div><p>A {PROSE}</p></div></body>"
+    assert html_extract.extract(page) == f"A {PROSE}\nA {PROSE}"
+
+
+ODD = {
+    "nested": lambda n: "<div>" * n + PROSE, "stray ends": lambda n: "<b>" * n + "</i>" * n, "unclosed": lambda n: "<a " * n,
+    "cells": lambda n: "<p><table><td>" + "<div>" * n, "items": lambda n: "<ul><li><ul>" + "<div><li></li>" * n,
+    "scripts": lambda n: "<script>" + "</script " * n, "quotes": lambda n: "<a t=\"" * n,
+}
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_time_grows_with_the_page(name):
+    from time import process_time
+
+    def seconds(n):
+        begin = process_time()
+        html_extract.extract(ODD[name](n))
+        return process_time() - begin
+
+    assert seconds(32_000) < 16 * max(seconds(4_000), 0.01)
+
+
+def test_url_without_a_path(spark):
+    from relaylog.llm.queries import ORACLE
+
+    urls = ["http://x.casino.com", "http://x.casino.com?q=1", "http://x.casino.com/", "http://casino.com", "x.casino.com", "://", None, "http://a.net#x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    made = {r.page_id: tuple(r) for r in url_automaton.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict").collect()}
+    con = __import__("duckdb").connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate(urls)))
+    assert {r[0]: r for r in con.execute(ORACLE["op4_url_filters"]).fetchall()} == made
+    assert made[0][4] == "block"
+
+
+@pytest.mark.parametrize("name", ["op4_url_filters", "op5_quality_rules"])
+def test_sql(spark, tiny, name):
+    import duckdb
+
+    from relaylog.llm.queries import ORACLE
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{tiny}/{t}.parquet'")
+    df = QUERIES[name](spark, tiny)
+    result = con.execute(ORACLE[name])
+    place = [df.columns.index(c[0]) for c in result.description]
+    assert sorted(str([r[i] for i in place]) for r in df.collect()) == sorted(str(list(r)) for r in result.fetchall())
