@@ -18,7 +18,8 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 
     Large stars hang all larger neighbours of a node on the smallest one, small stars all smaller ones, until
     every node hangs on its root. No node's links are gathered anywhere: each step is a minimum per node and a
-    join. The number of rounds grows with the logarithm of the longest path.
+    join. The number of rounds grows with the logarithm of the longest path. Repeated links count once, links with a
+    null end or of a node with itself not at all; without links there are no rows.
     """
     edges = links.filter(F.col(left) != F.col(right)).select(
         F.greatest(left, right).alias("u"), F.least(left, right).alias("v")

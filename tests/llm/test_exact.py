@@ -217,35 +217,67 @@ def spread_group(seed, versions, copies, words=300):
     return {i: " ".join(texts[k]) for i, k in enumerate(rng.permutation(len(texts)))}
 
 
-def test_no_link_is_lost_in_a_spread_group(spark):
-    texts = spread_group(3, 300, 1)
-    owner, element, weight = dart_minhash.weighted_shingles(list(texts.values()), dart_minhash.word_hashes())
-    cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-    sets = [(element[a:b], weight[a:b]) for a, b in zip(cut, cut[1:])]
-    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
-    lost = [(i, j) for i in range(len(sets)) for j in range(i) if got[i] != got[j] and dart_minhash.similarity(sets[i], sets[j]) >= 0.8]
-    assert not lost and len(set(got.values())) > 1
+def true_links(texts):
+    """All pairs of texts of at least 0.8, from the shingles as tuples."""
+    sets = [Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for w in (t.split() for t in texts)]
+    column = {s: i for i, s in enumerate({(x, k) for c in sets for x, n in c.items() for k in range(n)})}
+    row = [i for i, c in enumerate(sets) for n in c.values() for _ in range(n)]
+    place = [column[x, k] for c in sets for x, n in c.items() for k in range(n)]
+    size, shared = np.bincount(row), np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(place, kind="stable")
+    row, place = np.array(row)[order], np.array(place)[order]
+    for first in range(0, len(column), 4096):
+        a, b = np.searchsorted(place, [first, first + 4096])
+        there = np.zeros((len(sets), 4096), np.float32)
+        there[row[a:b], place[a:b] - first] = 1
+        shared += there @ there.T
+    near = 9 * shared >= 4 * (size[:, None] + size[None, :])
+    return np.argwhere(np.triu(near, 1)).tolist()
 
 
-def test_blocks_find_every_pair_of_two_components(monkeypatch):
-    monkeypatch.setattr(dart_minhash, "LEAST_BLOCK", 4)
-    rng = np.random.default_rng(1)
-    root = np.sort(rng.integers(0, 5, 30))
-    base = rng.integers(0, 9, dart_minhash.K)
-    sig = np.where(rng.random((30, dart_minhash.K)) < rng.uniform(0, 0.5, (30, 1)), rng.integers(9, 99, (30, dart_minhash.K)), base).astype("<u2")
-    own = np.repeat([0, 1], 15)
-    close = (sig[:, None] == sig[None]).mean(axis=2) >= dart_minhash.ESTIMATE
-    for alone in (True, False):
-        want = {(i, j) for i in range(30) for j in range(i + 1, 30) if close[i, j] and root[i] != root[j] and (alone or own[i] != own[j])}
-        i, j = dart_minhash._unit_pairs(own, root, sig, alone)
-        assert want and sorted(zip(i.tolist(), j.tolist())) == sorted(want)
+def test_no_link_is_lost_in_a_spread_group(spark):
+    """A group like that of the check's hard table: 2,100 versions of one text, most in components of their own."""
+    texts = spread_group(3, 700, 2)
+    links = true_links(list(texts.values()))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(docs).collect()}
+    found = sum(got[i] == got[j] for i, j in links)
+    assert len(links) > 1500 and found >= 0.99 * len(links) and 300 < len(set(got.values())) < 1000
+    assert found == len(links)
 
 
-def test_refinement_draws_hubs_of_all_components(spark):
-    nodes = spark.createDataFrame([(h, bytes(2 * dart_minhash.K)) for h in range(12)], "h bigint, sig binary")
-    mixed = nodes.selectExpr("1L as bucket", "h", "h div 2 as root", "12L as n")
-    met = {(r.a // 2, r.b // 2) for turn in range(1, 5) for r in dart_minhash._refined(mixed, nodes, turn).collect()}
-    assert {(a, b) for a, b in met if 0 < a < b < 5}
+def test_units_give_a_forest_of_all_links():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 32, 60)
+    sets = [np.unique(np.where(rng.random(60) < rng.uniform(0, 0.25), rng.integers(0, 1 << 32, 60), base)).astype("<u4") for _ in range(40)]
+    root = np.sort(rng.integers(0, 12, 40))
+    own = np.repeat([0, 1], 20)
+    for left, right in ((own == 0, own == 1), (own >= 0, own >= 0)):
+        i, j = dart_minhash.unit_links(sets, root, left, right)
+        assert len(i) < 12 and (left[i] & right[j] | left[j] & right[i]).all()
+        got = components_of(zip(root[i].tolist(), root[j].tolist()))
+        near = [(a, b) for a in np.flatnonzero(left) for b in np.flatnonzero(right) if root[a] != root[b]
+                and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+        assert near and got == components_of((int(root[a]), int(root[b])) for a, b in near)
+    nobody = np.zeros(40, bool)
+    assert not len(dart_minhash.unit_links(sets, root, nobody, ~nobody)[0]) and not len(dart_minhash.unit_links([], root[:0], nobody[:0], nobody[:0])[0])
+
+
+def components_of(links):
+    parts = []
+    for a, b in links:
+        met = [p for p in parts if a in p or b in p]
+        parts = [p for p in parts if p not in met] + [set().union({a, b}, *met)]
+    return sorted(sorted(p) for p in parts)
+
+
+def test_blocks_of_any_size_give_the_same_classes(spark, monkeypatch):
+    texts = spread_group(5, 60, 1)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = {(r.doc_id, r.class_id) for r in dart_minhash.near_duplicates(docs).collect()}
+    for name, value in (("BLOCK", 7), ("PAIRS_PER_HUB", 3), ("BROADCAST_NODES", 2), ("HOT_KEYS", 3), ("COLUMNS", 50)):
+        monkeypatch.setattr(dart_minhash, name, value)
+    assert {(r.doc_id, r.class_id) for r in dart_minhash.near_duplicates(docs).collect()} == want
 
 
 def test_darts_estimate_weighted_similarity():
@@ -258,6 +290,12 @@ def test_darts_estimate_weighted_similarity():
     assert abs((ranks[0] == ranks[1]).mean() - true) < 0.06 and np.isfinite(ranks).all()
 
 
+def test_components_of_odd_links(spark):
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    links = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (None, 4), (4, None)], "a bigint, b bigint")
+    assert {r.node: r.root for r in components.components(links).collect()} == {1: 1, 2: 1}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (200, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
