@@ -63,7 +63,7 @@ def random_log(seed, n, channels=3, hot=0.6):
 
 def matches(pattern, path):
     """Walk both strings: true when either ends, at ``*`` on a difference, ``?`` eats a segment."""
-    if pattern.lstrip("/").split("/")[0] != path.lstrip("/").split("/")[0]:
+    if pattern.removeprefix("/").split("/")[0] != path.removeprefix("/").split("/")[0]:
         return False
     i = j = 0
     while i < len(pattern) and j < len(path):
