@@ -19,22 +19,28 @@ OPERATIONS = {
 }
 
 
-def _allow_table(df: DataFrame) -> DataFrame:
-    rows = []
+def allowed_methods(mq_class: Column | str, method: Column | str) -> Column:
+    """The methods a refusal names, by queue class and refused method."""
+    mq_class, method = (F.col(c) if isinstance(c, str) else c for c in (mq_class, method))
+    out = F.lit(None).cast("string")
     for cls, served in ALLOWED.items():
-        for method in METHODS:
-            refused = method not in served
-            # TRACE on a queue names PUT only; clients depend on the text, so it stays.
-            listed = ("PUT",) if cls == "SyncQueue" and method == "TRACE" else served
-            rows.append((cls, method, 405 if refused else 0, ",".join(listed) if refused else None))
-    return df.sparkSession.createDataFrame(rows, "mq_class string, method string, code int, allow string")
+        # TRACE on a queue names PUT only; clients depend on the text, so it stays.
+        listed = F.when(method == "TRACE", "PUT").otherwise(",".join(served)) if cls == "SyncQueue" else F.lit(",".join(served))
+        out = F.when(mq_class == cls, listed).otherwise(out)
+    return out
+
+
+def _allow_table(df: DataFrame) -> DataFrame:
+    rows = [(cls, method, 0 if method in served else 405) for cls, served in ALLOWED.items() for method in METHODS]
+    return df.sparkSession.createDataFrame(rows, "mq_class string, method string, code int")
 
 
 def method_policy(messages: DataFrame) -> DataFrame:
     """Add ``code`` (0 or 405), ``allow`` and ``message`` by queue class and method."""
     joined = messages.join(F.broadcast(_allow_table(messages)), ["mq_class", "method"], "left")
-    text = F.when(F.col("code") == 405, F.concat(F.lit("Method "), "method", F.lit(" Not Allowed")))
-    return joined.withColumn("message", text)
+    refused = F.col("code") == 405
+    text = F.when(refused, F.concat(F.lit("Method "), "method", F.lit(" Not Allowed")))
+    return joined.withColumns({"allow": F.when(refused, allowed_methods("mq_class", "method")), "message": text})
 
 
 def method_dispatch(method: Column | str = "method") -> Column:

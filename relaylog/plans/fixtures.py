@@ -88,6 +88,7 @@ def channel_config(spark: SparkSession, sf_dir: str) -> DataFrame:
             "max_requests": 1 + channel % 3,
             "active": channel % 7 != 0,
             "mq_class": F.when(channel % 3 == 0, "SyncSAPI").otherwise("SyncQueue"),
+            "sapi_class": F.when(channel % 6 == 0, "PythonEngine").when(channel % 9 == 0, "PhpEngine"),
         })
     )
 
@@ -162,3 +163,40 @@ def daily_probes(log_rows: DataFrame) -> DataFrame:
         F.lit("2024-01-02").cast("timestamp_ntz"), F.lit("2024-01-31").cast("timestamp_ntz"), F.expr("interval 1 day")
     )
     return log_rows.groupBy("channel").agg(F.lit(1).alias("_")).select("channel", F.explode(grid).alias("probe_ts"))
+
+
+def exchange_captures(log_rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """The log and the pages as captured requests of two listeners, some of them damaged or lost."""
+    n = F.col("event_id")
+    verb = F.when(n % 41 == 0, "BREW").when(n % 53 == 0, "OPTIONS").otherwise(F.col("method"))
+    path = F.when(n % 59 == 0, F.lit("/nowhere/")).otherwise(F.concat(F.lit("/ch/"), F.col("channel").cast("string"), F.lit("/")))
+    forward = F.when(F.col("fwd").isNotNull(), F.concat(F.lit("X-Msg-Forward-Uid: "), "fwd", F.lit("\r\n"))).otherwise("")
+    blank = F.when(n % 43 == 0, "").otherwise("\r\n")
+    raw = F.concat(verb, F.lit(" "), path, F.lit("?k=1 HTTP/1.1\r\nHost: a.example\r\n"), forward, blank, content(F.col("k")))
+    events = log_rows.select(
+        "event_id", "ts", F.lit(":8080").alias("listener"), F.when(n % 47 == 0, "").otherwise(raw).alias("raw"), (n % 61 == 0).alias("read_error"),
+    )
+    page = F.col("page_id")
+    verb = F.when(page % 3 == 0, "PUT").when(page % 3 == 1, "GET").otherwise("HEAD")
+    target = F.regexp_extract("url", r"^[a-z]+://[^/?#]+([^#]*)", 1)
+    raw = F.concat(verb, F.lit(" "), target, F.lit(" HTTP/1.1\nContent-Type: text/uri-list\n\n"), "url")
+    return events.unionByName(pages.select(
+        (page + 1_000_000_000).alias("event_id"),
+        (F.lit("2024-02-01").cast("timestamp_ntz") + F.make_dt_interval(secs=page)).alias("ts"),
+        F.lit(":8081").alias("listener"), raw.alias("raw"), F.lit(False).alias("read_error"),
+    ))
+
+
+def exchange_channels(events: DataFrame) -> DataFrame:
+    """A channel for every user and for each of ROUTES; some are handler channels, some are not declared rightly."""
+    n = F.col("user_id")
+    rest = F.concat(F.lit("://ch/"), n.cast("string"), F.lit("/"))
+    endpoint = F.when(n % 11 == 0, "nonsense").when(n % 3 == 0, F.concat(F.lit("sync-sapi"), rest)).otherwise(F.concat(F.lit("sync-queue"), rest))
+    own = events.select("user_id").distinct().select(
+        F.concat(F.lit("ch-"), n.cast("string")).alias("channel"), endpoint.alias("endpoint"),
+        F.when(n % 3 == 0, F.when(n % 2 == 0, "python://h/a.py").otherwise("php://h/a.php")).alias("sapi"),
+        F.when(n % 4 == 0, 0).when(n % 4 == 1, 1).when(n % 4 == 2, 3).otherwise(5).cast("bigint").alias("limit_size"),
+        (n % 7 != 0).alias("active"),
+    )
+    fixed = [(channel, f"sync-queue:/{pattern}", None, 0, True) for channel, pattern in ROUTES]
+    return own.unionByName(events.sparkSession.createDataFrame(fixed, own.schema))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from relaylog.sources.replies import HELP_TEXT
+
 _MESSAGES = """
 e as (select *, cast(json_extract_string(props, '$.k') as int) as k, epoch_us(ts) // 1000000 as sec from events),
 m as (
@@ -135,11 +137,9 @@ step as (
 select event_id, channel, method, status, q, case when status = 507 then 3 end as queue_limit from step where n > 0
 """
 
-# The recursion decides which PUTs are refused; the replay is then that of the other rows.
-_BOUNDED_FULL = f"""
-with recursive {_LOG},
-ops as (
-  select *, case channel % 4 when 0 then 9000000000000000000 when 1 then 1 when 2 then 3 else 5 end as lim from fl),
+# The recursion decides which PUTs are refused; the replay is then that of the other rows. It starts from ``ops``, the rows
+# of queues with their place ``pos`` in the channel and its limit ``lim`` (9e18: none).
+_BOUNDED_STEPS = """
 step as (
   select channel, cast(0 as bigint) as pos, cast(0 as bigint) as q, false as refused from (select distinct channel from ops)
   union all
@@ -148,7 +148,7 @@ step as (
     o.method = 'PUT' and s.q >= o.lim
   from step s join ops o on o.channel = s.channel and o.pos = s.pos + 1),
 a as (
-  select o.event_id, o.channel, o.pos, o.uid, o.fwd, o.lim, o.method as asked, s.refused,
+  select o.event_id, o.channel, o.pos, o.ts, o.uid, o.fwd, o.lim, o.method as asked, s.refused,
     case when s.refused then 'none' else o.method end as method, s.q as depth
   from ops o join step s on s.channel = o.channel and s.pos = o.pos),
 b as (
@@ -156,30 +156,155 @@ b as (
     sum(case when method = 'PUT' then 1 else 0 end) over o - depth as pops
   from a window o as (partition by channel order by pos rows between unbounded preceding and current row)),
 bw as (select *, method = 'GET' and pops > coalesce(lag(pops) over (partition by channel order by pos), 0) as popped from b),
-bp as (select channel, puts as seq, uid, pos as put_pos from bw where method = 'PUT'),
-bg as (select channel, pops as seq, pos as get_pos from bw where popped),
+bp as (select channel, puts as seq, uid, event_id as put_id, ts as put_ts, pos as put_pos from bw where method = 'PUT'),
+bg as (select channel, pops as seq, event_id as get_id, ts as get_ts, pos as get_pos from bw where popped),
 bc as (
-  select w.channel, p.seq, w.pos as post_pos, row_number() over (partition by w.channel, p.seq order by w.pos) as n
+  select w.channel, p.seq, w.event_id as post_id, w.ts as post_ts, w.uid as post_uid, w.pos as post_pos,
+    row_number() over (partition by w.channel, p.seq order by w.pos) as n
   from bw w join bp p on p.channel = w.channel and cast(p.uid as varchar) = w.fwd and w.pos > p.put_pos where w.method = 'POST'),
 bt as (
-  select p.channel, p.seq, g.get_pos, c.post_pos from bp p left join bg g using (channel, seq)
+  select p.*, g.get_id, g.get_ts, g.get_pos, c.post_id, c.post_ts, c.post_uid, c.post_pos from bp p left join bg g using (channel, seq)
   left join (select * from bc where n = 1) c using (channel, seq)),
 bl as (
-  select w.*, tg.post_pos < tg.get_pos as late, tp.seq as put_seq, coalesce(tp.get_pos < w.pos, false) as cleared
+  select w.*, tg.post_pos < tg.get_pos as late, tg.uid as got_uid, tg.put_id as got_id, tp.seq as put_seq, tp.put_id as answered_id,
+    coalesce(tp.get_pos < w.pos, false) as cleared
   from bw w left join bt tg on tg.channel = w.channel and tg.get_pos = w.pos
-  left join bt tp on tp.channel = w.channel and tp.post_pos = w.pos)
-select event_id, asked as method,
-  case when refused then 507 when asked = 'PUT' then 202
-       when asked = 'GET' then case when not popped then 204 when late then 503 else 200 end
-       when asked = 'POST' then case when fwd is null or fwd = 'bad' then 400 when put_seq is null then 300 else 200 end
-       when asked = 'HEAD' then case when depth > 0 then 200 else 204 end else 405 end as status,
-  cast(depth as bigint) as q,
-  cast(pops - sum(case when cleared then 1 else 0 end) over o as bigint) as pend,
-  cast(puts - sum(case when put_seq is not null then 1 else 0 end) over o as bigint) as msgs,
-  case when refused then cast(lim as bigint) end as x_mq_queue_limit
-from bl window o as (partition by channel order by pos rows between unbounded preceding and current row)
+  left join bt tp on tp.channel = w.channel and tp.post_pos = w.pos),
+replayed as (
+  select event_id, channel, asked as method, ts, uid, fwd, pops, cleared, answered_id, got_uid, got_id,
+    case when refused then 507 when asked = 'PUT' then 202
+         when asked = 'GET' then case when not popped then 204 when late then 503 else 200 end
+         when asked = 'POST' then case when fwd is null or fwd = 'bad' then 400 when put_seq is null then 300 else 200 end
+         when asked = 'HEAD' then case when depth > 0 then 200 else 204 end
+         when asked = 'OPTIONS' then 200 else 405 end as status,
+    cast(depth as bigint) as q,
+    cast(pops - sum(case when cleared then 1 else 0 end) over o as bigint) as pend,
+    cast(puts - sum(case when put_seq is not null then 1 else 0 end) over o as bigint) as msgs,
+    case when refused then cast(lim as bigint) end as x_mq_queue_limit
+  from bl window o as (partition by channel order by pos rows between unbounded preceding and current row))
+"""
+
+_BOUNDED_FULL = f"""
+with recursive {_LOG},
+ops as (
+  select *, case channel % 4 when 0 then 9000000000000000000 when 1 then 1 when 2 then 3 else 5 end as lim from fl),
+{_BOUNDED_STEPS}
+select event_id, method, status, q, pend, msgs, x_mq_queue_limit from replayed
 """
 
+
+def _scripted(kind: str, k: str, content: str) -> tuple[str, str, str]:
+    """Status, reply and error of the sample scripts."""
+    fails, mute = f"({kind} = 'PythonEngine' and {k} % 25 = 0)", f"({kind} = 'PythonEngine' and {k} % 10 = 7)"
+    none = f"{kind} is null"
+    return (
+        f"case when {none} or {fails} or {mute} then 503 else 200 end",
+        f"case when {none} or {fails} or {mute} then 'SAPI Endpoint error' when {kind} = 'PythonEngine' then cast({k} * 2 as varchar) else {content} end",
+        f"case when {fails} then 'no multiples of 25: ' || {k} end",
+    )
+
+
+_S = _scripted("sapi", "k", """'{"k": ' || k || '}'""")
+_BY_CLASS = f"""
+with recursive {_LOG}, {_CONFIG},
+ops as (
+  select fl.*, cast(3 as bigint) as lim from fl join cfg using (channel) where mq_class = 'SyncQueue'),
+{_BOUNDED_STEPS},
+asked as (
+  select m.*, active, case when channel % 6 = 0 then 'PythonEngine' when channel % 9 = 0 then 'PhpEngine' end as sapi,
+    sum(case when method = 'PUT' and active then 1 else 0 end)
+      over (partition by channel, sec // 86400 order by ts, event_id rows between unbounded preceding and current row) as n
+  from m join cfg using (channel) where mq_class = 'SyncSAPI'),
+done as (select *, case when method <> 'PUT' then 405 when not active then 521 when n > 3 then 507 end as own from asked)
+select event_id, channel, 'SyncQueue' as mq_class, method, status, q, pend, msgs, x_mq_queue_limit,
+  cast(null as varchar) as reply, cast(null as varchar) as error
+from replayed
+union all
+select event_id, channel, 'SyncSAPI', method, coalesce(own, {_S[0]}), null, null, null, case when own = 507 then 3 end,
+  case when own is null then {_S[1]} end, case when own is null then {_S[2]} end
+from done
+"""
+
+# Answers of the exchange: what cannot be read, what has no channel, handler channels, queues.
+_TELEGRAM = "'created-at=' || {0} || coalesce(';emplaced-at=' || {1}, '') || coalesce(';extracted-at=' || {2}, '') || ';finished-at=' || {3}"
+_EXCHANGE = rf"""
+with recursive {_LOG},
+told as (
+  select event_id, ts, ':8080' as listener, sec, uid as own_uid, fwd, k, channel as ch,
+    case when event_id % 53 = 0 then 'OPTIONS' else method end as verb,
+    case when event_id % 61 = 0 then 408 when event_id % 47 = 0 then 400 when event_id % 41 = 0 then 405 when event_id % 43 = 0 then 431 end as refusal,
+    case when event_id % 59 <> 0 and channel % 11 <> 0 then 'ch-' || channel end as route,
+    case when channel % 3 = 0 then 'SyncSAPI' else 'SyncQueue' end as cls,
+    case when channel % 6 = 0 then 'PythonEngine' when channel % 3 = 0 then 'PhpEngine' end as sapi,
+    case channel % 4 when 0 then 0 when 1 then 1 when 2 then 3 else 5 end as lim0, channel % 7 <> 0 as active,
+    '{{"k": ' || k || '}}' as content, 'application/json' as kind
+  from f),
+{_ROUTES.strip().removesuffix(",")},
+paged as (
+  select p.page_id + 1000000000 as event_id, timestamp '2024-02-01' + to_seconds(p.page_id) as ts, ':8081' as listener,
+    case p.page_id % 3 when 0 then 'PUT' when 1 then 'GET' else 'HEAD' end as verb,
+    case when regexp_extract(url, '^[a-z]+://[^/?#]+([^#]*)', 1) = '' then 400 end as refusal, m.route, url as content
+  from pages p join matched m using (page_id)),
+read as (
+  select event_id, ts, listener, own_uid as uid, fwd, k, verb, refusal, route, cls, sapi, lim0, active, content, kind, sec from told
+  union all
+  select event_id, ts, listener, ((epoch_us(ts) // 1000000) << 32) | event_id, null, null, verb, refusal, route, 'SyncQueue', null, 0, true, content,
+    'text/uri-list', epoch_us(ts) // 1000000 from paged),
+ops as (
+  select event_id, route as channel, ts, verb as method, uid, fwd, row_number() over (partition by route order by ts, event_id) as pos,
+    case when lim0 = 0 then 9000000000000000000 else lim0 end as lim
+  from read where refusal is null and route is not null and cls = 'SyncQueue'),
+{_BOUNDED_STEPS},
+asked as (
+  select *, sum(case when verb = 'PUT' and active then 1 else 0 end)
+      over (partition by route, sec // 86400 order by ts, event_id rows between unbounded preceding and current row) as n
+  from read where refusal is null and route is not null and cls = 'SyncSAPI'),
+done as (
+  select *, case when verb <> 'PUT' then 405 when not active then 521 when lim0 > 0 and n > lim0 then 507 end as own,
+    {_S[0]} as s_code, {_S[1].replace("'SAPI", "'SAPI")} as s_reply, {_S[2]} as s_error from asked),
+heads as (
+  select r.event_id, bp.uid as head_uid from replayed r join bp on bp.channel = r.channel and bp.seq = r.pops + 1
+  where r.method = 'HEAD' and r.status = 200),
+waits as (
+  select r.*, t.post_id, t.post_uid, t.post_ts, t.get_ts, t.get_pos, t.post_pos, h.head_uid
+  from replayed r left join bt t on r.method = 'PUT' and r.status = 202 and t.put_id = r.event_id left join heads h on h.event_id = r.event_id)
+select x.event_id, x.listener, null as channel, 'unparsed' as lane, x.refusal as code,
+  case x.refusal when 400 then 'Bad Request' when 405 then 'Method Not Allowed' when 408 then 'Request Timeout' else 'Request Header Fields Too Large' end as message,
+  '' as body, 'application/json' as content_type, null as allow, x.uid as x_msg_uid, null as x_msg_forward_uid, null as x_msg_head_uid,
+  null as x_mq_class, null as x_mq_queue_count, null as x_mq_pending_count, null as x_mq_messages_count, null as x_mq_queue_limit,
+  {_TELEGRAM.format("epoch_us(x.ts)", "null", "null", "epoch_us(x.ts)")} as telemetry
+from read x where refusal is not null
+union all
+select event_id, listener, null, 'unrouted', 404, 'Endpoint not found', '', 'application/json', null, uid, null, null, null, null, null, null, null,
+  {_TELEGRAM.format("epoch_us(ts)", "null", "null", "epoch_us(ts)")}
+from read where refusal is null and route is null
+union all
+select event_id, listener, route, 'handler', coalesce(own, s_code),
+  case own when 405 then 'Method ' || verb || ' Not Allowed' when 521 then 'SyncQueue is down pending' when 507 then 'Insufficient Storage'
+    else case when s_code = 200 then 'OK' else 'SAPI Endpoint error' end end,
+  case when own is not null then '' when s_code = 200 then s_reply else coalesce(s_error, '') end, 'application/json',
+  case when own = 405 then 'PUT' end, uid, null, null, 'Sync.MQ.SAPI', null, null, null, case when own = 507 then lim0 end,
+  {_TELEGRAM.format("epoch_us(ts)", "null", "null", "epoch_us(ts)")}
+from done
+union all
+select w.event_id, x.listener, w.channel, 'queue', case when w.post_id is not null then 200 else w.status end,
+  case when w.post_id is not null then 'OK'
+    when w.status = 405 then 'Method ' || w.method || ' Not Allowed'
+    when w.status = 400 and w.fwd is null then 'Bad Request. Header `X-MSG-FORWARD-UID` not found'
+    when w.status = 400 then 'Bad Request. Invalid `X-MSG-FORWARD-UID` header'
+    when w.status = 200 then 'OK' when w.status = 202 then 'Accepted' when w.status = 204 then 'Queue is empty'
+    when w.status = 300 then 'Multiple Replays. Reply Ignored.' when w.status = 503 then 'Server.Std.Exception' else 'Insufficient Storage' end,
+  case when w.post_id is not null then o.content when w.method = 'GET' and w.status = 200 then g.content when w.method = 'OPTIONS' then '$HELP' else '' end,
+  case when w.post_id is not null then o.kind when w.method = 'GET' and w.status = 200 then g.kind when w.method = 'OPTIONS' then 'text/plain' else 'application/json' end,
+  case when w.status = 405 then 'PUT,GET,POST,HEAD,OPTIONS' end, w.uid,
+  case when w.post_id is not null then w.post_uid when w.method = 'GET' and w.status = 200 then w.got_uid end, w.head_uid,
+  'Sync.MQ.Queue', coalesce(a.q, w.q), case when a.event_id is not null then a.pend + case when a.cleared then 1 else 0 end else w.pend end,
+  case when a.event_id is not null then a.msgs + 1 else w.msgs end, w.x_mq_queue_limit,
+  {_TELEGRAM.format("epoch_us(w.ts)", "case when w.get_pos < w.post_pos then epoch_us(w.get_ts) end", "epoch_us(w.post_ts)", "epoch_us(coalesce(w.post_ts, w.ts))")}
+from waits w join read x on x.event_id = w.event_id left join read o on o.event_id = w.post_id left join read g on g.event_id = w.got_id
+  left join replayed a on a.event_id = w.post_id
+""".replace("$HELP", HELP_TEXT.replace("'", "''"))
+
 _RATE = f"""
 with {_MESSAGES}, {_CONFIG},
 b as (select m.*, max_requests, case when period > 0 then sec // period end as bucket from m join cfg using (channel)),
@@ -256,16 +381,19 @@ ORACLE: dict[str, str] = {
         own as (
           select l.event_id, l.channel, status as code, 'sender' as "to", {_TEXT} as message,
             case when method = 'GET' and status = 200 then '{{"k": ' || p.put_k || '}}' else '' end as body,
-            'application/json' as content_type, l.uid as x_msg_uid,
+            'application/json' as content_type, case when status = 405 then 'PUT,GET,POST,HEAD,OPTIONS' end as allow, l.uid as x_msg_uid,
             case when method = 'GET' then p.uid end as x_msg_forward_uid,
             case when method = 'HEAD' then p.uid end as x_msg_head_uid,
-            pend as x_mq_pending_count, msgs as x_mq_messages_count, 'Sync.MQ.Queue' as x_mq_class, q as x_mq_queue_count
+            pend as x_mq_pending_count, msgs as x_mq_messages_count, 'Sync.MQ.Queue' as x_mq_class, q as x_mq_queue_count,
+            cast(null as bigint) as x_mq_queue_limit,
+            {_TELEGRAM.format("epoch_us(l.ts)", "null", "null", "epoch_us(l.ts)")} as telemetry
           from looked l left join p on p.channel = l.channel and p.seq = l.look)
         select * from own
         union all
-        select event_id, channel, 200, 'caller', 'OK', '{{"k": ' || k || '}}', 'application/json', put_uid, uid, null,
-          pend + case when cleared then 1 else 0 end, msgs + 1, 'Sync.MQ.Queue', q
-        from replay where method = 'POST' and status = 200""",
+        select r.event_id, r.channel, 200, 'caller', 'OK', '{{"k": ' || r.k || '}}', 'application/json', null, put_uid, r.uid, null,
+          pend + case when cleared then 1 else 0 end, msgs + 1, 'Sync.MQ.Queue', q, null,
+          {_TELEGRAM.format("epoch_us(t.put_ts)", "case when t.get_pos < t.post_pos then epoch_us(t.get_ts) end", "epoch_us(t.post_ts)", "epoch_us(t.post_ts)")}
+        from replay r join t on t.post_id = r.event_id where method = 'POST' and status = 200""",
     "access_log": f"""
         with {_LOG} select uid, '192.168.1.' || (channel % 256) as address, 1024 + k as port, status as code, {_TEXT} as message,
           case when k % 2 = 0 then lower(to_hex(k)) end as thread
@@ -425,11 +553,8 @@ ORACLE: dict[str, str] = {
         union all select conv_id, turn, 'none', 503, 'SAPI Endpoint error' from conversations where role not in ('user', 'assistant')""",
     "handler_chain": f"""
         select conv_id, turn, 200 as status, {_WORDS.replace('text', "trim(text)")} as reply from conversations where role = 'user'""",
-    "queue_by_class": f"""
-        with {_LOG}, {_CONFIG}
-        select event_id, channel, mq_class, method,
-          case when mq_class = 'SyncQueue' then status when method = 'PUT' then 200 else 405 end as status
-        from replay join cfg using (channel)""",
+    "queue_by_class": _BY_CLASS,
+    "exchange": _EXCHANGE,
     "stream_messages": f"with {_MESSAGES} select event_id, channel, method, k, uid from m",
     "stream_route": f"with {_ROUTES} select page_id, path, route, status from matched",
     "stream_queue": _REPLAY,

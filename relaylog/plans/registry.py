@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from relaylog.functions import scalars as S
 from relaylog.operators import bounded, handlers, ids, monitor, policy, queue, routing
+from relaylog.operators import exchange as exchanges
 from relaylog.operators.slices import add_slice, plan_slices
 from relaylog.plans import fixtures as fx
 from relaylog.schema import DEFAULT_QUERY_LIMIT
@@ -521,6 +522,23 @@ def count_words(batch: pd.DataFrame) -> pd.Series:
     return batch["text"].str.count(" ").astype(str)
 
 
+def answer_numbers(batch: pd.DataFrame) -> pd.Series:
+    """Sample handler: the double of the number in the content; it fails on multiples of 25 and has no answer to those that end in 7."""
+    k = batch["content"].str.extract(r"(\d+)", expand=False).astype(int)
+    if (k % 25 == 0).any():
+        raise ValueError(f"no multiples of 25: {k[k % 25 == 0].iloc[0]}")
+    return (k * 2).astype(str).where(k % 10 != 7, None)
+
+
+def echo_content(batch: pd.DataFrame) -> pd.Series:
+    """Sample handler: the content again."""
+    return batch["content"]
+
+
+SCRIPTS = {"PythonEngine": "answer_numbers", "PhpEngine": "echo_content"}
+
+handlers.register_handler("answer_numbers", answer_numbers)
+handlers.register_handler("echo_content", echo_content)
 handlers.register_handler("describe_text", describe_text)
 handlers.register_handler("count_words", count_words)
 
@@ -559,5 +577,22 @@ def handler_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def queue_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = policy.with_channel_config(fx.log(spark, sf_dir), fx.channel_config(spark, sf_dir))
-    return handlers.queue_by_class(rows)
+    """Queues with a limit and handler channels that run their scripts, emptied once a day."""
+    rows = policy.with_channel_config(fx.log(spark, sf_dir), fx.channel_config(spark, sf_dir)).withColumn("content", fx.content(F.col("k")))
+    answered = handlers.queue_by_class(rows, SCRIPTS, drain_seconds=86_400)
+    return answered.select(
+        "event_id", "channel", "mq_class", "method", "status", "q", "pend", "msgs", "x_mq_queue_limit", "reply", "error"
+    )
+
+
+@query
+def exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of two listeners to the reply of each, written to the lanes and read back."""
+    events = fx.table(spark, sf_dir, "events")
+    captures = fx.exchange_captures(fx.with_forward(fx.to_messages(events)), fx.table(spark, sf_dir, "pages"))
+    listeners = spark.createDataFrame([(":8080", 1048576, 8192)], "listener string, query_limit int, header_limit int")
+    settings = exchanges.Settings(fx.exchange_channels(events), listeners, SCRIPTS, drain_seconds=86_400)
+    path = new_folder(spark, "lanes")
+    replied = exchanges.exchange(captures, settings)
+    exchanges.write_lanes(replied, path)
+    return spark.read.parquet(path).drop("ts", "day")

@@ -78,10 +78,12 @@ def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of captures, parsed and routed; requests without a path are no requests and have no route."""
     pages = read_stream(spark, sf_dir, fx.table(spark, sf_dir, "pages").schema, files="pages.parquet")
-    paths = pages.select("page_id", capture.url_path("url").alias("path"))
-    routed = _collected(spark, jobs.stream_route(paths, fx.routes(spark)), "routed")
-    return routed.select("page_id", "path", "route", F.when(F.col("route").isNull(), 404).otherwise(200).alias("status"))
+    captures = fx.page_http(pages).withColumnRenamed("event_id", "page_id")
+    routed = _collected(spark, jobs.stream_route(captures, fx.routes(spark)), "routed")
+    path = F.coalesce("uri", F.lit(""))
+    return routed.select("page_id", path.alias("path"), "route", F.when(F.col("route").isNull(), 404).otherwise(200).alias("status"))
 
 
 @query

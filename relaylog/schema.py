@@ -31,6 +31,13 @@ REPLY_TEXT = {
     507: "Insufficient Storage",
     521: "SyncQueue is down pending",
 }
+# Reason phrases for requests that cannot be read.
+REFUSED_TEXT = {
+    400: "Bad Request",
+    405: "Method Not Allowed",
+    408: "Request Timeout",
+    431: "Request Header Fields Too Large",
+}
 MISSING_FORWARD_TEXT = "Bad Request. Header `X-MSG-FORWARD-UID` not found"
 DEFAULT_CONTENT_TYPE = "application/json"
 

@@ -97,17 +97,17 @@ def header(name: str, default: str | None = None, head: Column | str = "head") -
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
-    return _parsed_once(parsed).filter(F.col("code") == 0)
+    return parsed_once(parsed).filter(F.col("code") == 0)
 
 
 def quarantined(parsed: DataFrame) -> DataFrame:
-    return _parsed_once(parsed).filter(F.col("code") != 0)
+    return parsed_once(parsed).filter(F.col("code") != 0)
 
 
-def _parsed_once(parsed: DataFrame) -> DataFrame:
-    """Keep a filter on ``code`` above the parsing.
+def parsed_once(parsed: DataFrame) -> DataFrame:
+    """Keep filters on ``code``, and expressions over parsed columns, above the parsing.
 
-    Spark would push it down and parse again for every use of the code; it does not push a
+    Spark would push a filter down and parse again for every use of the code; it does not push a
     filter through a generator, here one that yields the code itself.
     """
     return parsed.withColumn("code", F.explode(F.array("code")))

@@ -23,9 +23,10 @@ def timed(stream: DataFrame, delay: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
-def stream_route(pages: DataFrame, routes: DataFrame) -> DataFrame:
-    """Route a stream of requests; the route table is static, no state is kept."""
-    return route_match(pages, routes)
+def stream_route(captures: DataFrame, routes: DataFrame) -> DataFrame:
+    """Parse and route a stream of captures (``raw``); the route table is static, no state is kept."""
+    parsed = capture.parsed_once(stream_parse(captures))
+    return route_match(parsed.drop("raw"), routes, "uri")
 
 
 def stream_parse(captures: DataFrame) -> DataFrame:
