@@ -124,7 +124,7 @@ def message_trace(messages: DataFrame) -> DataFrame:
     ``get_status`` is 200, or 503 when the message had been answered before it was taken.
     """
     if not is_sliced(messages):
-        return _trace(linked(messages))
+        return trace_of(linked(messages))
     walk = materialise(queue_depth(messages), "walk")
     replies = _first_replies(walk).select(
         "channel", "seq", F.lit("POST").alias("method"), "event_id", "ts", "pos", F.lit(False).alias("popped"),
@@ -133,10 +133,11 @@ def message_trace(messages: DataFrame) -> DataFrame:
     rows = walk.withColumn("seq", _own_seq()).select(
         "channel", "seq", "method", "event_id", "ts", "pos", "popped", "uid", "k"
     )
-    return _trace(rows.unionByName(replies, allowMissingColumns=True))
+    return trace_of(rows.unionByName(replies, allowMissingColumns=True))
 
 
-def _trace(rows: DataFrame) -> DataFrame:
+def trace_of(rows: DataFrame, *extra: Column) -> DataFrame:
+    """The trace of linked or replayed rows, with ``extra`` aggregates over the rows of each message."""
     def pick(cond: Column, name: str) -> Column:
         return F.max(F.when(cond, F.col(name)))
 
@@ -152,6 +153,7 @@ def _trace(rows: DataFrame) -> DataFrame:
         pick(post, "event_id").alias("post_id"),
         pick(post, "ts").alias("post_ts"),
         pick(post, "pos").alias("post_pos"),
+        *extra,
     )
     return trace.withColumn(
         "get_status",

@@ -15,7 +15,7 @@ from relaylog.operators.slices import add_slice, plan_slices
 from relaylog.plans import fixtures as fx
 from relaylog.schema import DEFAULT_QUERY_LIMIT
 from relaylog.session import materialise, new_folder
-from relaylog.sources import capture, channels, replies, snapshot
+from relaylog.sources import capture, channels, generations, replies
 
 SMALL_SLICE = 25
 CUT = "2024-01-15 00:00:00"
@@ -102,15 +102,13 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def snapshot_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replay to a cut, write the state, read it back, replay the rest from it."""
+    """Replay to a cut, keep the state as a generation, and replay the rest from it."""
     log = materialise(fx.with_forward(fx.to_messages(fx.table(spark, sf_dir, "events"))), "log")
-    cut = F.lit(CUT).cast("timestamp_ntz")
-    slicing = fx.slicing_of(spark, sf_dir)
-    state = snapshot.take_snapshot(queue.message_trace(add_slice(log.filter(F.col("ts") < cut), slicing)))
-    stored = materialise(state, "snapshot")
-    rest = snapshot.resume_log(stored, log.filter(F.col("ts") >= cut), CUT)
-    replay = queue.queue_replay(add_slice(rest, plan_slices(rest)))
-    return _replay_columns(replay.filter(F.col("event_id") >= 0))
+    early = F.col("ts") < F.lit(CUT).cast("timestamp_ntz")
+    state = generations.Generations(spark, new_folder(spark, "state"), -1, log)
+    _, state = generations.advance(state, log.filter(early), CUT, 0)
+    replay, _ = generations.advance(state, log.filter(~early), None, 1)
+    return _replay_columns(replay)
 
 
 @query

@@ -1,8 +1,8 @@
 """The request/reply queue as a chain of batch replays, for streams with hot channels.
 
 A stateful processor owns a channel in one task. Here every micro-batch is replayed by the batch
-operators instead, which cut a hot channel into slices, and the state travels as a table: the
-queue snapshot, the rows not yet due, and the time up to which rows have been replayed.
+operators instead, which cut a hot channel into slices, and the state travels in generations of
+tables (``sources/generations.py``): a batch reads and rewrites only the messages it touches.
 
 State and output belong to a batch id and are overwritten when that batch runs again, so a
 failure between two writes leaves neither a gap nor a second copy.
@@ -12,16 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relaylog.operators.queue import message_trace, queue_replay
-from relaylog.operators.slices import ROWS_PER_SLICE, add_slice, plan_slices
+from relaylog.operators.slices import ROWS_PER_SLICE
 from relaylog.schema import MESSAGE
-from relaylog.sources.snapshot import resume_log, take_snapshot
+from relaylog.sources.generations import Generations, advance, overwritten
 
 RESULT = ("event_id", "channel", "method", "status", "q", "pend", "msgs")
-_SNAPSHOT = "queue long, kind string, seq long, uid long"
 _COLUMNS = [f.name for f in MESSAGE.fields]
 
 
@@ -31,46 +29,31 @@ def queue_batches(
     """A ``foreachBatch`` function that replays rows in order once they are ``delay`` old.
 
     Under ``root`` it writes ``replay`` (results), ``late`` (rows behind the replayed time, not
-    applied) and ``state``, each by ``batch_id``.
+    applied) and ``pending`` (not yet due), each by ``batch_id``, and ``state``.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
-        state, pending, done = _read_state(batch.sparkSession, root, batch_id - 1)
+        spark = batch.sparkSession
+        state = Generations(spark, f"{root}/state", batch_id - 1, spark.createDataFrame([], MESSAGE))
+        done = state.horizon
         batch = batch.select(*_COLUMNS).persist()
         try:
             behind = F.lit(False) if done is None else F.col("ts") <= F.lit(done).cast("timestamp_ntz")
-            _write(batch.filter(behind), f"{root}/late/batch_id={batch_id}")
+            overwritten(batch.filter(behind), f"{root}/late/batch_id={batch_id}")
             rows = batch.filter(~behind)
-            if pending is not None:
-                rows = rows.unionByName(pending)
+            if batch_id > 0:
+                rows = rows.unionByName(spark.read.schema(MESSAGE).parquet(f"{root}/pending/batch_id={batch_id - 1}"))
             newest = rows.agg((F.max("ts") - F.expr(f"interval {delay}")).cast("string").alias("t")).first().t
             horizon = max(filter(None, (newest, done)), default=None)
-            due = F.lit(False) if horizon is None else F.col("ts") <= F.lit(horizon).cast("timestamp_ntz")
-            target = f"{root}/state/batch_id={batch_id}"
-            _write(rows.filter(~due), f"{target}/pending")
-            log = rows.filter(due) if state is None else resume_log(state, rows.filter(due), done)
-            log = _write(log, f"{target}/log")
+            ready = F.lit(False) if horizon is None else F.col("ts") <= F.lit(horizon).cast("timestamp_ntz")
+            overwritten(rows.filter(~ready), f"{root}/pending/batch_id={batch_id}")
+            due = overwritten(rows.filter(ready), f"{root}/state/work/gen={batch_id}/due")
         finally:
             batch.unpersist()
-        log = add_slice(log, plan_slices(log, rows_per_slice=rows_per_slice))
-        _write(take_snapshot(message_trace(log)), f"{target}/snapshot")
-        replay = queue_replay(log).filter(F.col("event_id") >= 0).select(*RESULT)
-        _write(replay, f"{root}/replay/batch_id={batch_id}")
-        _write(log.sparkSession.range(1).select(F.lit(horizon).cast("string").alias("horizon")), f"{target}/horizon")
+        if due.isEmpty():
+            state.carry(horizon, batch_id)
+            result = due.select("event_id", "channel", "method", F.lit(0).alias("status"), *[F.lit(0).cast("bigint").alias(c) for c in ("q", "pend", "msgs")])
+        else:
+            result, _ = advance(state, due, horizon, batch_id, rows_per_slice)
+        overwritten(result.select(*RESULT), f"{root}/replay/batch_id={batch_id}")
 
     return step
-
-
-def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _read_state(spark: SparkSession, root: str, batch_id: int) -> tuple[DataFrame | None, DataFrame | None, str | None]:
-    if batch_id < 0:
-        return None, None, None
-    folder = f"{root}/state/batch_id={batch_id}"
-    horizon = spark.read.schema("horizon string").parquet(f"{folder}/horizon").first().horizon
-    pending = spark.read.schema(MESSAGE).parquet(f"{folder}/pending")
-    if horizon is None:
-        return None, pending, None
-    return spark.read.schema(_SNAPSHOT).parquet(f"{folder}/snapshot"), pending, horizon

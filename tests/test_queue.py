@@ -6,7 +6,6 @@ from relaylog.operators import bounded, queue
 from relaylog.operators.slices import add_slice, plan_slices
 from relaylog.plans import fixtures as fx
 from relaylog.schema import MESSAGE
-from relaylog.sources import snapshot
 
 LOG = "event_id long, ts timestamp_ntz, channel long, method string, uid long, fwd string, k int"
 
@@ -87,20 +86,6 @@ def test_bounded_rejections_at_sf001(spark, small):
     assert rejected == 3762
 
 
-@pytest.mark.parametrize("cut", [0, 100, 350])
-def test_snapshot_resumes(spark, cut):
-    rows = model.random_log(5, 500)
-    rows.sort(key=lambda r: (r[1], r[0]))
-    at = rows[cut][1]
-    head, tail = ([r for r in rows if (r[1] < at) == early] for early in (True, False))
-    state = snapshot.take_snapshot(queue.message_trace(frame(spark, head)))
-    log = snapshot.resume_log(state, frame(spark, tail), str(at))
-    ids = {r[0] for r in tail}
-    assert result(queue.queue_replay(log).filter("event_id >= 0")) == sorted(
-        r for r in model.replay(rows) if r[0] in ids
-    )
-
-
 def test_asof_state_sliced_equals_plain(spark):
     df = frame(spark, model.random_log(4, 400))
     probes = df.groupBy("channel").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(
