@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import model
-from relaylog.operators import bounded, queue
+from relaylog.operators import bounded, queue, slices
 from relaylog.operators.slices import add_slice, plan_slices
 from relaylog.plans import fixtures as fx
 from relaylog.schema import MESSAGE
@@ -104,6 +104,44 @@ def test_slices_are_bounded(spark):
     assert most <= 50
 
 
+def crowded(seed, n=900):
+    """A log in which 600 rows come at one time, in the middle of others, in ids that are out of order."""
+    rows = model.random_log(seed, n, channels=1)
+    rows.sort(key=lambda r: (r[1], r[0]))
+    at = rows[150][1]
+    return [(n - r[0], at if 150 <= i < 750 else r[1], *r[2:]) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("sampled", [64, 4])
+def test_one_moment_is_cut_by_splitters(spark, monkeypatch, sampled):
+    monkeypatch.setattr(slices, "_SAMPLED", sampled)
+    rows = crowded(12)
+    df = frame(spark, rows).repartition(4)
+    slicing = plan_slices(df, rows_per_slice=50)
+    out = add_slice(df, slicing)
+    sizes = out.groupBy("slice").agg(F.count("*").alias("n"), F.min(F.struct("ts", "event_id")).alias("a"), F.max(F.struct("ts", "event_id")).alias("b")).orderBy("slice").collect()
+    assert max(r.n for r in sizes) <= 50 and sum(r.n for r in sizes) == 900 and len(sizes) >= 18
+    assert all(x.b < y.a for x, y in zip(sizes, sizes[1:]))
+    expected = sorted(model.replay(rows))
+    assert result(queue.queue_replay(out)) == expected == result(queue.queue_replay(df))
+
+
+def test_dense_ticks_of_many_keys_joined_by_shuffle(spark):
+    rows = [(i, model.START.replace(minute=i % 4 * (i % 3)), i % 3, ("PUT", "GET", "POST")[i % 7 % 3], i, str(i - 6)) for i in range(1500)]
+    df = frame(spark, rows)
+    slicing = plan_slices(df, rows_per_slice=40, max_broadcast=1)
+    assert not slicing.small and not slicing.dense_small
+    out = add_slice(df, slicing)
+    assert out.groupBy("channel", "slice").count().agg(F.max("count")).first()[0] <= 40
+    assert result(queue.queue_replay(out)) == sorted(model.replay(rows))
+
+
+def test_null_keys_are_cut_too(spark):
+    df = frame(spark, crowded(13)).withColumn("channel", F.lit(None).cast("bigint"))
+    out = add_slice(df, plan_slices(df, rows_per_slice=50))
+    assert out.filter("slice >= 0").count() == 900 and out.groupBy("slice").count().agg(F.max("count")).first()[0] <= 50
+
+
 def test_message_schema_matches_fixture(spark, tiny):
     log = fx.log(spark, tiny).select(*[f.name for f in MESSAGE.fields])
     assert [(f.name, f.dataType) for f in log.schema] == [(f.name, f.dataType) for f in MESSAGE.fields]
