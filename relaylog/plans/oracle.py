@@ -464,6 +464,13 @@ ORACLE: dict[str, str] = {
         with {_TELE}, st as (select channel, emplaced_at - created_at as wait, extracted_at - emplaced_at as service,
           finished_at - created_at as total from tele)
         select channel, {_LATENCY} from st group by channel""",
+    "latency_stats_narrowed": f"""
+        with {_TELE}, st as (select channel, emplaced_at - created_at as wait, extracted_at - emplaced_at as service,
+          finished_at - created_at as total from tele)
+        select channel, {_LATENCY} from st group by channel""",
+    "traffic_rollup": f"""
+        with {_MESSAGES} select channel, method, epoch_us(date_trunc('day', ts)) as start_us, count(*) as requests, count(k) as measured,
+          cast(sum(k) as bigint) as total, cast(min(k) as bigint) as least, cast(max(k) as bigint) as greatest from m group by all""",
     "dedupe": f"""
         with {_MESSAGES}, x as (select event_id, method, (channel << 32) | k as uid,
           row_number() over (partition by (channel << 32) | k order by ts, event_id) as n from m)

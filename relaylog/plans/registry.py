@@ -264,6 +264,22 @@ def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.latency_stats(fx.telemetry(queue.message_trace(fx.log(spark, sf_dir))))
 
 
+@query
+def latency_stats_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report with almost every channel treated as too busy for a summary."""
+    return monitor.latency_stats(fx.telemetry(queue.message_trace(fx.log(spark, sf_dir))), accuracy=10)
+
+
+@query
+def traffic_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact columns of days that were merged from hours kept as a table."""
+    rows = fx.to_messages(fx.table(spark, sf_dir, "events")).withColumn("size", F.col("k").cast("bigint"))
+    hours = materialise(monitor.rollup_hours(rows, "size", ("channel", "method")), "hours")
+    days = monitor.read_rollups(monitor.merge_rollups(hours, "day", ("channel", "method")))
+    start = F.unix_micros(F.col("period").cast("timestamp")).alias("start_us")
+    return days.select("channel", "method", start, "requests", "measured", "total", "least", "greatest")
+
+
 @query
 def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.dedupe(fx.retransmits(spark, sf_dir)).select("uid", "event_id", "method")
