@@ -590,5 +590,11 @@ ORACLE: dict[str, str] = {
     "stream_replies": f"""
         with {_RAW} select event_id, case when code = 0 then 'accepted' else 'quarantined' end as lane, code, method,
           case when code = 0 then split_part(target, '?', 1) end as uri from parsed""",
+    "stream_connections": f"""
+        with {_RAW},
+        kept as (select p.*, row_number() over (partition by p.channel, date_trunc('hour', e.ts) order by e.ts, event_id) - 1 as number
+          from parsed p join events e using (event_id) where code <> 431)
+        select event_id, number, code, method, case when code = 0 then split_part(target, '?', 1) end as uri,
+          case when code = 0 then substr(raw, sep + 4) end as content from kept""",
     "stream_restart": _DAILY,
 }

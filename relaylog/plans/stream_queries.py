@@ -11,7 +11,8 @@ from relaylog.schema import EVENT, MESSAGE
 from relaylog.session import new_folder
 from relaylog.sources import capture
 from relaylog.sources.messages import stream_messages as read_stream
-from relaylog.streaming import jobs
+from relaylog.sources import connections
+from relaylog.streaming import jobs, reply_sink
 from relaylog.streaming.queue_batches import queue_batches
 from relaylog.streaming.queue_state import stream_queue as run_queue
 
@@ -161,6 +162,41 @@ def stream_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both[0].unionByName(both[1]).select("event_id", "lane", "code", "method", "uri")
 
 
+def _connected(events: DataFrame) -> DataFrame:
+    """The captured requests of a user in one hour as one connection, each with the length of its body."""
+    raw = fx.raw_http(events).join(events.select("event_id", "ts"), "event_id")
+    length = F.concat(F.lit("\r\nContent-Length: "), F.octet_length(F.substring_index("raw", "\r\n", -1)).cast("string"), F.lit("\r\nHost: "))
+    raw = raw.withColumn("raw", F.regexp_replace("raw", F.lit("\r\nHost: "), length))
+    hour = F.date_trunc("hour", "ts")
+    whole = F.sort_array(F.collect_list(F.struct("ts", "event_id", "raw")))
+    return raw.groupBy("channel", hour.alias("hour")).agg(whole.alias("r")).select(
+        F.get("r", 0)["event_id"].alias("connection"), F.get("r", 0)["ts"].cast("timestamp").alias("ts"), F.lit(":8080").alias("listener"),
+        F.array_join(F.col("r.raw"), "").cast("binary").alias("data"),
+    )
+
+
+@query
+def stream_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections written as capture files, read as a stream in bounded batches, parsed, and written in two phases."""
+    connections.register(spark)
+    reply_sink.register(spark)
+    events = fx.table(spark, sf_dir, "events").filter((F.col("event_type") != "error") | (F.col("event_id") % 5 != 0))
+    folder, journal, out, state = (new_folder(spark, n).removeprefix("file:") for n in ("captures", "journal", "replies", "replies-checkpoint"))
+    _connected(events).write.format("connections").mode("append").save(folder)
+    stream = spark.readStream.format("connections").options(path=folder, journal=journal, maxBytes=4 << 20, partBytes=1 << 20).load()
+    parsed = jobs.stream_parse(stream).select(
+        capture.header("x-msg-forward-uid", head=F.col("raw")).cast("bigint").alias("event_id"), "number", "code", "method", "uri", F.col("body").cast("string").alias("content"),
+    )
+    writer = parsed.writeStream.format("replies").option("path", out).option("checkpointLocation", state)
+    # One batch after another until nothing is left; "available now" would end after the first bounded batch.
+    running = writer.trigger(processingTime="0 seconds").start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return reply_sink.read_replies(spark, out, parsed.schema)
+
+
 @query
 def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts over two runs on one checkpoint; the second half of the log arrives in between."""
