@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 SLICE_BYTES = 2 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -25,24 +26,43 @@ def trainable(doc_id: str = "doc_id") -> Column:
     return F.col(doc_id).isNotNull() & ~held_out(doc_id)
 
 
-def bounded_sample(
-    rows: DataFrame, label: str, key: str, per_class: int | dict, max_classes: int = 256, seed: int = 17,
-) -> DataFrame:
+def bounded_sample(rows: DataFrame, label: str, key: str, per_class: int | dict, seed: int = 17) -> DataFrame:
     """About ``per_class`` rows of each label (or as many as it says for the label), and never more than twice that.
 
     Rows are chosen by a hash of ``key``. One counting pass fixes the share of each label; the sample is a filter.
-    Labels beyond the ``max_classes`` most frequent are left out.
     """
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(max_classes).collect()
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return rows.limit(0)
-    share, bound = F.lit(0.0), 0
-    for row in counts:
-        wanted = per_class[row[label]] if isinstance(per_class, dict) else per_class
-        share = F.when(F.col(label) == F.lit(row[label]), F.lit(min(1.0, wanted / row["n"]))).otherwise(share)
-        bound += 2 * wanted
+    wanted = {row[label]: per_class[row[label]] if isinstance(per_class, dict) else per_class for row in counts}
+    shares = [(row[label], min(1.0, wanted[row[label]] / row["n"])) for row in counts]
+    schema = StructType([rows.schema[label], StructField("_share", DoubleType())])
+    shares = rows.sparkSession.createDataFrame(shares, schema)
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.filter(draw < share).limit(bound)
+    return rows.join(F.broadcast(shares), label).filter(draw < F.col("_share")).select(*rows.columns).limit(2 * sum(wanted.values()))
+
+
+def text_blocks(rows: DataFrame, column: str, max_chars: int) -> DataFrame:
+    """The rows, once for each block of about ``max_chars`` characters of their text, cut at white space where there is some."""
+
+    def cut(text: str) -> list[str]:
+        out, at = [], 0
+        while len(text) - at > max_chars:
+            space = text.rfind(" ", at + max_chars // 2, at + max_chars)
+            end = space + 1 if space >= 0 else at + max_chars
+            out.append(text[at:end])
+            at = end
+        return [*out, text[at:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, column):
+                blocks = [cut(t) if t is not None else [None] for t in part.column(column).to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(blocks)), [len(b) for b in blocks]))
+                columns = [pa.array([t for b in blocks for t in b], pa.string()) if n == column else part.column(n).take(row) for n in part.schema.names]
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

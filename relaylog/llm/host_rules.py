@@ -22,6 +22,8 @@ from relaylog.session import materialise
 SPACES = " \t\n\x0b\f\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+# Verdicts up to about this size are broadcast.
+BROADCAST_BYTES = 32 << 20
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 HOST_LIMIT = 0.5
@@ -110,10 +112,13 @@ def judge(docs: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT)
     The counts are written once, as the host rates and the join read them.
     """
     rows = materialise(counted(docs, host).withColumn("base_failed", base_failed()), "host-rules")
-    rates = host_rates(rows)
+    rates = materialise(host_rates(rows), "host-rates")
     failed, passed = beta_prior(rates)
     shrunk = (F.col("failed") + F.lit(failed)) / (F.col("n") + F.lit(failed + passed))
     verdicts = rates.select("host", shrunk.alias("host_rate"))
+    if (rates.agg(F.sum(F.octet_length("host") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        # Beyond it the hosts are joined by shuffle, where adaptive execution splits a large one.
+        verdicts = F.broadcast(verdicts)
     return rows.join(verdicts, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate",
         (~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= host_limit)).alias("kept"),

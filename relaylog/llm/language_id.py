@@ -22,11 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relaylog.llm.common import WordTable, bounded_sample, code_points, gram_hashes, held_out, keep_rows, map_slices, trainable
+from relaylog.llm.common import WordTable, bounded_sample, code_points, gram_hashes, held_out, keep_rows, map_slices, text_blocks, trainable
 
 LETTER = regex.compile(r"\p{L}")
 GRAMS = (2, 3, 4)
 UNKNOWN = "und"
+# Bounds of a model with very many languages: texts of the sample, numbers in the table.
+SAMPLE, CELLS = 100_000, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -79,12 +81,18 @@ def train(
     docs: DataFrame, per_language: int = 1000, max_chars: int = 20_000, buckets: int = 1 << 16, width: int = 16,
     epochs: int = 4, rate: float = 0.5, max_loss: float = 0.001, seed: int = 7,
 ) -> LanguageModel:
-    """Fit on about ``per_language`` texts of at most ``max_chars`` of each language (at most twice as many).
+    """Fit on about ``per_language`` texts of each language (at most twice as many); of long ones the blocks of ``max_chars``.
 
-    Rows with a null language, and held-out rows, are never read. One fifth of the sample is the calibration fold.
+    All languages are learned. Where there are so many that the sample would exceed ``SAMPLE`` texts or the table
+    ``CELLS`` numbers, each gets fewer texts, and subwords share fewer buckets. Rows with a null language, and held-out
+    rows, are never read. One fifth of the sample is the calibration fold.
     """
-    rows = docs.filter(trainable() & F.col("lang").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "lang", "text")
-    got = [(r.lang, r.text) for r in bounded_sample(rows, "lang", "doc_id", per_language).collect() if LETTER.search(r.text)]
+    rows = docs.filter(trainable() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    known = max(1, rows.select("lang").distinct().count())
+    per_language = max(1, min(per_language, SAMPLE // known))
+    buckets = min(buckets, max(1 << 10, 1 << (CELLS // known).bit_length() - 1))
+    sample = text_blocks(bounded_sample(rows, "lang", "doc_id", per_language), "text", max_chars).limit(4 * per_language * known)
+    got = [(r.lang, r.text) for r in sample.collect() if LETTER.search(r.text)]
     languages = tuple(sorted({lang for lang, _ in got}))
     if not languages:
         return LanguageModel((), np.zeros((1, 1)), 1.0, 1.0)

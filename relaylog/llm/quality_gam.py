@@ -168,12 +168,13 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, threshold: float = THRESHOLD, **options) -> QualityModel:
-    """Fit on about ``per_class`` documents of each label (at most twice as many). Held-out labels are never read.
+    """Fit on about ``per_class`` documents of each label (at most twice as many). Held-out labels are never read;
+    of several labels of one document the greatest counts.
 
     The tables are fitted on a sample with more bad texts than the corpus has; the intercept is moved back to
     the true share afterwards, so that scores are probabilities.
     """
-    known = labels.filter(trainable() & F.col("quality").isin(0, 1)).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    known = labels.filter(trainable() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     shares = {r.quality: r.n for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = bounded_sample(known, "quality", "doc_id", per_class)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from relaylog.llm import language_id, quality_gam, toxicity_crf
-from relaylog.llm.common import bounded_sample, held_out
+from relaylog.llm.common import bounded_sample, held_out, text_blocks
 from relaylog.llm.queries import QUERIES, table
 
 
@@ -96,3 +96,36 @@ def test_sample_is_bounded_and_spares_held_out_rows(spark):
     got = bounded_sample(rows, "y", "doc_id", 100)
     assert 200 <= got.count() <= 600
     assert spark.range(1000).filter(held_out("id")).count() == sum(__import__("zlib").crc32(str(i).encode()) % 4 == 2 for i in range(1000))
+
+
+def test_the_greatest_of_several_labels_counts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] + [(i, 0, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    seen = {}
+    monkeypatch.setattr(quality_gam, "fit", lambda x, y, **options: seen.update(y=y) or quality_gam.QualityModel.__new__(quality_gam.QualityModel))
+    try:
+        quality_gam.train(docs, labels)
+    except AttributeError:
+        pass  # the intercept of a model that was not fitted
+    rows = [i for i in range(40) if not (__import__("zlib").crc32(str(i).encode()) % 4 == 2)]
+    assert sorted(seen["y"].tolist()) == sorted(float(i % 2) for i in rows)
+
+
+def test_long_texts_are_read_in_blocks(spark):
+    texts = ["", "a " * 50, "x" * 45, None, "one two three four"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {}
+    for r in text_blocks(rows, "text", 20).collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert all(max(map(len, b)) <= 20 for i, b in got.items() if texts[i])
+    assert {i: ("".join(b) if b != [None] else None) for i, b in got.items()} == dict(enumerate(texts))
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = [(i, f"q{i % 400}z w{i % 400}k " * 6, f"l{i % 400}") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(docs, epochs=6)
+    shown = {r.lang for r in docs.filter(~held_out("doc_id")).select("lang").distinct().collect()}
+    assert set(model.languages) == shown and len(shown) > 300 and len(model.table) == 1 << 15
+    known = docs.filter(F.col("lang").isin(*shown))
+    assert language_id.identify(known, model).join(docs, "doc_id").filter("lang_pred = lang").count() > 0.9 * known.count()
