@@ -475,6 +475,10 @@ ORACLE: dict[str, str] = {
         with {_MESSAGES}, x as (select event_id, method, (channel << 32) | k as uid,
           row_number() over (partition by (channel << 32) | k order by ts, event_id) as n from m)
         select uid, event_id, method from x where n = 1""",
+    "dedupe_history": f"""
+        with {_MESSAGES}, x as (select event_id, method, (channel << 32) | k as uid,
+          row_number() over (partition by (channel << 32) | k order by ts, event_id) as n from m)
+        select uid, event_id, method from x where n = 1""",
     "peak_concurrency": f"with {_INTERVAL_EDGES} select channel, max(active) as peak from active group by channel",
     "queue_depth": _DEPTH,
     "queue_depth_sliced": _DEPTH,

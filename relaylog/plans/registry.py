@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaylog.functions import scalars as S
-from relaylog.operators import bounded, handlers, ids, monitor, policy, queue, routing
+from relaylog.operators import bounded, handlers, history, ids, monitor, policy, queue, routing
 from relaylog.operators import exchange as exchanges
 from relaylog.operators.slices import add_slice, plan_slices
 from relaylog.plans import fixtures as fx
@@ -285,6 +286,16 @@ def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.dedupe(fx.retransmits(spark, sf_dir)).select("uid", "event_id", "method")
 
 
+@query
+def dedupe_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a log that comes week by week, each week against the uids of the weeks before."""
+    rows = materialise(fx.retransmits(spark, sf_dir), "log")
+    ends = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    weeks = [ends.a + timedelta(days=7 * i) for i in range((ends.b - ends.a).days // 7 + 1)] if ends.a else []
+    parts = [rows.filter((F.col("ts") >= F.lit(w)) & (F.col("ts") < F.lit(w + timedelta(days=7)))) for w in weeks]
+    return history.dedupe_batches(spark, parts or [rows], new_folder(spark, "uids"), shards=8, bits=1 << 16).select("uid", "event_id", "method")
+
+
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.message_trace(fx.log(spark, sf_dir)).select(
         "channel", F.col("put_ts").alias("start_ts"), F.col("put_id").alias("start_id"),
