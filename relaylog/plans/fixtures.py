@@ -158,10 +158,10 @@ def customer_channels(customers: DataFrame) -> DataFrame:
 
 
 def daily_probes(log_rows: DataFrame) -> DataFrame:
-    """Every channel at every midnight of the log's month."""
-    grid = F.sequence(
-        F.lit("2024-01-02").cast("timestamp_ntz"), F.lit("2024-01-31").cast("timestamp_ntz"), F.expr("interval 1 day")
-    )
+    """Every channel at every midnight after a day of the log."""
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz") + F.expr("interval 1 day")
+    ends = log_rows.agg(F.min(day).alias("first"), F.max(day).alias("last")).first()
+    grid = F.sequence(F.lit(ends["first"]).cast("timestamp_ntz"), F.lit(ends["last"]).cast("timestamp_ntz"), F.expr("interval 1 day"))
     return log_rows.groupBy("channel").agg(F.lit(1).alias("_")).select("channel", F.explode(grid).alias("probe_ts"))
 
 

@@ -359,7 +359,7 @@ ORACLE: dict[str, str] = {
         union all
         select ':8081', page_id, case when target = '' then 400 else 0 end, 'GET',
           case when target <> '' then split_part(target, '?', 1) end,
-          case when target <> '' then least(strlen(html), 1048576 - strlen(target) - 32) end from pg""",
+          case when target <> '' then strlen(html) end from pg""",
     "parse_http": f"""
         with {_RAW} select event_id, code, method,
           case when code = 0 then split_part(target, '?', 1) end as uri,
@@ -450,8 +450,9 @@ ORACLE: dict[str, str] = {
     "message_trace_sliced": _TRACE,
     "asof_state": f"""
         with {_LOG},
-        probes as (select channel, unnest(range(timestamp '2024-01-02', timestamp '2024-02-01', interval 1 day)) as probe_ts
-          from (select distinct user_id as channel from events)),
+        span as (select date_trunc('day', min(ts)) + interval 1 day as a, date_trunc('day', max(ts)) + interval 2 day as b from events),
+        probes as (select channel, unnest(range(a::timestamp, b::timestamp, interval 1 day)) as probe_ts
+          from (select distinct user_id as channel from events), span),
         hit as (select p.channel, p.probe_ts, r.q, r.pend, r.msgs from probes p
           asof left join replay r on r.channel = p.channel and r.ts <= p.probe_ts)
         select channel, epoch_us(probe_ts) as probe_us, coalesce(q, 0) as waiting, coalesce(pend, 0) as pending,

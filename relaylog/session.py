@@ -29,10 +29,12 @@ def build_session(master: str | None = None, app: str = "relaylog", **conf: str)
 def work_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Where the session names none, as in local tests, a folder inside the warehouse is used, which driver and
-    executors share by definition.
+    Where a local session names none, as in tests, a folder inside the warehouse is used. On a cluster the setting is
+    needed, as the warehouse may be a folder of the driver's.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_relaylog"
 
 

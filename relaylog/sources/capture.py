@@ -44,7 +44,8 @@ def parse_requests(
     rows = captures.withColumns({
         "_method": method,
         "_target": F.regexp_extract(text, r"^\S+ ([^ \t\r\n]*)", 1),
-        "_end": F.regexp_instr(text, F.lit("\r\n\r\n|\n\n")),
+        # A head that ends further back is refused anyway; a character has a byte at least.
+        "_end": F.regexp_instr(F.substring(text, F.lit(1), F.least(query_limit, header_limit)), F.lit("\r\n\r\n|\n\n")),
     })
     separator = F.when(F.substring(text, F.col("_end"), F.lit(1)) == "\r", 4).otherwise(2)
     rows = rows.withColumn("_head", F.substring(text, F.lit(1), F.col("_end") + separator - 1))

@@ -19,7 +19,8 @@ from relaylog.operators.queue import NOT_SERVED, forward_status, forward_uid
 from relaylog.streaming.jobs import timed
 
 OUTPUT = "event_id long, channel long, method string, status int, q long, pend long, msgs long"
-_ROW = "event_id long, us long, method string, uid long, target long, bad boolean"
+# Messages go by "u" and their uid; one without a uid, or with that of a message still held, by "p" and its place: no POST can name it.
+_ROW = "event_id long, us long, method string, uid string, target string, bad boolean"
 _FIELDS = ["event_id", "us", "method", "uid", "target", "bad"]
 
 
@@ -30,8 +31,8 @@ class QueueProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.buffer = handle.getListState("buffer", _ROW)
-        self.line = handle.getMapState("line", "place long", "uid long")
-        self.held = handle.getMapState("held", "uid long", "taken boolean")
+        self.line = handle.getMapState("line", "place long", "uid string")
+        self.held = handle.getMapState("held", "uid string", "taken boolean")
         self.counts = handle.getValueState("counts", "head long, tail long, pend long, msgs long")
         self.due = handle.getValueState("due", "ms long")
 
@@ -76,10 +77,10 @@ class QueueProcessor(StatefulProcessor):
 
     def _run(self, channel: int, rows: list) -> pd.DataFrame:
         head, tail, pend, msgs = self.counts.get() or (0, 0, 0, 0)
-        line: dict[int, int] = {}
-        held: dict[int, bool | None] = {}
+        line: dict[int, str] = {}
+        held: dict[str, bool | None] = {}
 
-        def taken(uid: int) -> bool | None:
+        def taken(uid: str) -> bool | None:
             """Flag of an unanswered message, None when there is no such message."""
             if uid not in held:
                 known = msgs > 0 and self.held.containsKey((uid,))
@@ -90,6 +91,8 @@ class QueueProcessor(StatefulProcessor):
         for event_id, _, method, uid, target, bad in rows:
             status = 200
             if method == "PUT":
+                if not uid or taken(uid) is not None:
+                    uid = f"p{tail}"
                 line[tail], held[uid] = uid, False
                 tail, msgs, status = tail + 1, msgs + 1, 202
             elif method == "GET":
@@ -109,7 +112,7 @@ class QueueProcessor(StatefulProcessor):
             elif method == "POST":
                 if bad:
                     status = 400
-                elif taken(target) is None:
+                elif not target or taken(target) is None:
                     status = 300
                 else:
                     pend -= taken(target)
@@ -125,7 +128,7 @@ class QueueProcessor(StatefulProcessor):
         for uid, flag in held.items():
             if flag is not None:
                 self.held.updateValue((uid,), (flag,))
-            elif uid >= 0 and self.held.containsKey((uid,)):
+            elif self.held.containsKey((uid,)):
                 self.held.removeKey((uid,))
         self.counts.update((head, tail, int(pend), msgs))
         return pd.DataFrame(out, columns=["event_id", "channel", "method", "status", "q", "pend", "msgs"])
@@ -136,9 +139,8 @@ def stream_queue(stream: DataFrame, delay: str) -> DataFrame:
     show up in the query's progress as rows dropped by watermark."""
     rows = timed(stream, delay).select(
         "channel", "ts", "event_id", F.unix_micros("ts").alias("us"), "method",
-        F.coalesce("uid", F.lit(-1)).alias("uid"),
-        # No nulls: pandas would turn the column into floats, which cannot hold a uid.
-        F.coalesce(forward_uid(), F.lit(-1)).alias("target"), forward_status().isNotNull().alias("bad"),
+        F.coalesce(F.concat(F.lit("u"), "uid"), F.lit("")).alias("uid"),
+        F.coalesce(F.concat(F.lit("u"), forward_uid()), F.lit("")).alias("target"), forward_status().isNotNull().alias("bad"),
     )
     return rows.groupBy("channel").transformWithStateInPandas(
         statefulProcessor=QueueProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"

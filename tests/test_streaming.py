@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import model
+from relaylog.operators.queue import queue_replay
 from relaylog.plans import stream_queries as sq
 from relaylog.schema import MESSAGE
 from relaylog.session import new_folder
@@ -56,6 +57,21 @@ def test_state_is_kept_between_releases(spark):
     assert got == sorted(model.replay(rows))
 
 
+def test_messages_without_a_uid_are_not_named_by_odd_headers(spark):
+    rows = [(i, model.START + timedelta(seconds=i), 0, m, u, f) for i, (m, u, f) in enumerate([
+        ("PUT", None, None), ("POST", 2, "99999999999999999999"), ("POST", 3, "-1"), ("PUT", -1, None), ("POST", 5, "-1"), ("POST", 6, "-1"),
+        ("GET", 7, None), ("PUT", 8, None), ("PUT", 8, None), ("POST", 9, "8"), ("GET", 10, None), ("GET", 11, None), ("GET", 12, None),
+    ])]
+    log = frame(spark, rows)
+    folder, out, state = (new_folder(spark, n) for n in ("in", "out", "state"))
+    sq._stage(spark, log, folder)
+    sq._stage(spark, sq._sentinel(spark), folder)
+    run(spark, folder, out, state, "1 day")
+    done = spark.read.parquet(out).filter("channel >= 0")
+    got = sorted(tuple(r) for r in done.select("event_id", "status", "q", "pend", "msgs").collect())
+    assert got == sorted(tuple(r) for r in queue_replay(log).select("event_id", "status", "q", "pend", "msgs").collect())
+
+
 @pytest.mark.parametrize("rows_per_slice", [4_000_000, 15])
 def test_batch_chain_equals_step_model(spark, rows_per_slice):
     rows = spaced_log(23, 300)
