@@ -76,6 +76,10 @@ class Generations:
 
         The rows are ``due`` and those of the messages they may touch, with ``restored`` and, for restored PUTs, ``seq0``.
         """
+        log = due.withColumns({"restored": F.lit(False), "seq0": F.lit(None).cast("bigint")})
+        if self.gen < 0:
+            nothing = [F.lit(0).cast("bigint").alias(c) for c in (*COUNTERS, "n", "more_waiting", "more_pending", "more_held")]
+            return log, due.select("channel").distinct().select("channel", *nothing)
         asked = due.groupBy("channel").agg(F.sum(F.when(F.col("method") == "GET", 1).otherwise(0)).alias("gets"))
         counters = asked.join(self.channels().withColumnRenamed("channel", "_channel"), F.col("channel").eqNullSafe(F.col("_channel")), "left")
         counters = counters.drop("_channel", "gen").fillna(0, list(COUNTERS))
@@ -106,7 +110,6 @@ class Generations:
         ))
         restored = held.select("channel", *self.keep, F.explode(rows).alias("_r")).select("channel", *self.keep, "_r.*")
         restored = restored.withColumn("restored", F.lit(True))
-        log = due.withColumns({"restored": F.lit(False), "seq0": F.lit(None).cast("bigint")})
         log = log.unionByName(restored, allowMissingColumns=True).select(*log.columns)
         there = held.groupBy(F.col("channel").alias("_channel")).agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("get_id").isNull(), 1).otherwise(0)).alias("n_waiting"),
@@ -152,7 +155,8 @@ class Generations:
             "seq": F.coalesce("seq0", F.col("seq") - F.col("n") + F.col("puts")),
             "done": F.col("get_id").isNotNull() & F.col("post_id").isNotNull(), "gen": F.lit(gen).cast("bigint"),
         }).select(*self.message_schema.names)
-        versions.repartitionByRange("channel", "seq").write.mode("overwrite").parquet(f"{self.root}/messages/gen={gen}")
+        # The rows come dealt by message; a range partitioning would compute them twice.
+        versions.sortWithinPartitions("channel", "seq").write.mode("overwrite").parquet(f"{self.root}/messages/gen={gen}")
         return self._published(gen, horizon)
 
     def carry(self, horizon: str | None, gen: int) -> Generations:
@@ -180,7 +184,7 @@ def advance(
     log, shift = state.resume(due)
     work = f"{state.root}/work/gen={gen}"
     shift = overwritten(shift, f"{work}/shift")
-    log = overwritten(log, f"{work}/log")
+    log = overwritten(log, f"{work}/log") if state.gen >= 0 else log
     replay = overwritten(queue_replay(add_slice(log, plan_slices(log, rows_per_slice=rows_per_slice))), f"{work}/replay")
     after = state.commit(replay, shift, horizon, gen)
     more = shift.select(F.col("channel").alias("_channel"), "more_waiting", "more_pending", "more_held")
