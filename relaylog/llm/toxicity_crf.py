@@ -221,7 +221,10 @@ def train(
     chosen = np.concatenate([np.flatnonzero(toxic == 1), rng.permutation(clean)[: max(2 * toxic_docs - int(toxic.sum()), toxic_docs)]])
     tokens, toxic = np.concatenate([coded[i] for i in chosen]), toxic[chosen]
     lengths = np.array([len(coded[i]) for i in chosen])
-    del coded, got
+    # Only words of the chosen texts are trained; the features of all others would fill the driver's memory.
+    used, tokens = np.unique(tokens, return_inverse=True)
+    names, marked = [names[i] for i in used.tolist()], marked[used]
+    del coded, got, number, used
     target = (marked[tokens] & np.repeat(toxic == 1, lengths)).astype(float)
     bucket, owner = word_features(names)
 
