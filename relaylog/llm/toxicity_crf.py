@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relaylog.llm.common import MIX, WordTable, bounded_sample, code_points, gram_hashes, held_out, keep_rows, map_slices, text_blocks, trainable
+from relaylog.llm.common import MIX, WordTable, bounded_sample, code_points, gram_hashes, held_out, keep_rows, map_slices, trainable
 
 BLOCK = 256
 BUCKETS = 1 << 18
@@ -199,15 +199,14 @@ def train(
     docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, clean_docs: int = 6000, max_chars: int = 20_000,
     rounds: int = 30, rate: float = 0.5, ridge: float = 1e-4, threshold: float = THRESHOLD,
 ) -> ToxicityModel:
-    """Fit on about so many texts of each label (at most twice as many); long ones are read in blocks of ``max_chars``.
+    """Fit on about so many texts of each label (at most twice as many), of at most ``max_chars``, so that they fit the driver.
 
     All of them count for the labelling of words, ``2 * toxic_docs`` train the chain. Labels of held-out documents
     are never read; of several labels of one document the greatest counts.
     """
     known = labels.filter(trainable() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = bounded_sample(known, "toxic", "doc_id", {0: clean_docs, 1: toxic_docs})
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
-    rows = text_blocks(rows, "text", max_chars)
+    rows = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id")
     got = sorted({(r.text, r.toxic) for r in rows.limit(4 * (toxic_docs + clean_docs)).select("text", "toxic").collect()})
     if len({toxic for _, toxic in got}) < 2:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), -30.0, np.array([[0.9, 0.1], [0.9, 0.1]]), np.array([-30.0, 0, 0]), threshold)
