@@ -7,7 +7,8 @@ marker starts. A connection carries any number of requests one after another; ea
 As a stream the source admits at most ``maxBytes`` a batch. What it admits, as parts of files, it first writes to a
 journal under ``journal``; offsets count journal entries, so they never go back, and a restart in the middle of a file
 goes on where the last batch ended. Files are taken in the order of their names once they are complete; the sink
-writes them under names beginning with ``_`` and renames them when all tasks are done.
+writes them under names beginning with ``_`` and renames them when all tasks are done. ``share`` ``i/n`` lets n streams,
+each with a journal of its own, take a folder side by side: each file belongs to one of them by its name.
 
 ``path`` and ``journal`` are folders that pyarrow's file systems can open from all machines.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +35,8 @@ CONNECTIONS = "connection bigint, ts timestamp, listener string, data binary"
 PART_BYTES = 32 << 20
 _MARKER = 16
 _READ = 1 << 20
+_LINE = 256
+_END = re.compile(rb"\r\n\r\n|\n\n")
 _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 
 
@@ -53,13 +57,13 @@ def requests_of(data: bytes) -> Iterator[bytes]:
     """The requests of a connection, cut by the end of each head and its content length. What has no end of head is the last one."""
     at = 0
     while at < len(data):
-        ends = [e for e in ((data.find(sep, at), len(sep)) for sep in (b"\r\n\r\n", b"\n\n")) if e[0] >= 0]
-        if not ends:
+        # One search that ends at the nearer separator; looking for each of them would run to the end of the data for every request.
+        ended = _END.search(data, at)
+        if not ended:
             yield data[at:]
             return
-        head, width = min(ends)
-        length = _LENGTH.search(data, at, head + width)
-        end = head + width + (int(length[1]) if length else 0)
+        length = _LENGTH.search(data, at, ended.end())
+        end = ended.end() + (int(length[1]) if length else 0)
         yield data[at:end]
         at = end
 
@@ -81,26 +85,34 @@ def frames(part: Part) -> Iterator[tuple[int, int, str, bytes]]:
         marker = f.read(_MARKER)
         at = max(part.start, _MARKER)
         f.seek(at)
-        held = b""
+        # ``held`` are the bytes from ``at`` on, the first ``used`` of them done; each byte of the file is read once.
+        held, used = b"", 0
         while True:
-            found = held.find(marker)
+            found = held.find(marker, used)
             while found < 0:
-                more = f.read(_READ)
+                # A marker may lie across two reads; one that starts before the end needs no byte behind ``room``.
+                at, held, used = at + max(used, len(held) - _MARKER + 1), held[max(used, len(held) - _MARKER + 1) :], 0
+                room = part.end + _MARKER - 1 - at - len(held)
+                more = f.read(min(_READ, room)) if room > 0 else b""
                 if not more:
                     return
-                # A marker may lie across two reads.
-                at, held = at + max(0, len(held) - _MARKER + 1), held[max(0, len(held) - _MARKER + 1) :] + more
+                held += more
                 found = held.find(marker)
             if at + found >= part.end:
                 return
-            f.seek(at + found + _MARKER)
-            line = b""
-            while not line.endswith(b"\n"):
-                line += f.read(1)
-            number, ts, listener, size = line.decode().rstrip("\n").split(" ", 3)
-            length = int(size)
-            yield int(number), int(ts), listener, f.read(length)
-            at, held = f.tell(), b""
+            head = found + _MARKER
+            while (line := held.find(b"\n", head)) < 0:
+                more = f.read(_LINE)
+                if not more:
+                    raise EOFError(f"{part.name} ends inside the line of a frame")
+                held += more
+            number, ts, listener, size = held[head:line].decode().split(" ", 3)
+            used = line + 1 + int(size)
+            data = held[line + 1 : used]
+            if used > len(held):
+                data += f.read(used - len(held))
+                at, held, used = at + used, b"", 0
+            yield int(number), int(ts), listener, data
 
 
 def _rows(part: Part) -> Iterator[pa.RecordBatch]:
@@ -145,6 +157,8 @@ class _StreamReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.journal = options["path"], options["journal"]
         self.part_bytes, self.most = int(options.get("partBytes", PART_BYTES)), int(options.get("maxBytes", 1 << 62))
+        self.share, self.shares = (int(n) for n in options.get("share", "0/1").split("/"))
+        self.last: int | None = None
 
     def _entry(self, number: int) -> dict | None:
         system, root = opened(self.journal)
@@ -154,10 +168,15 @@ class _StreamReader(DataSourceStreamReader):
             return json.loads(f.read())
 
     def _last(self) -> int:
+        """The newest entry. The journal is listed once; from then on one look for the next entry is enough, however long it grows."""
         system, root = opened(self.journal)
-        if system.get_file_info(root).type == fs.FileType.NotFound:
-            return 0
-        return max((int(i.base_name[:-5]) for i in system.get_file_info(fs.FileSelector(root)) if re.fullmatch(r"\d+\.json", i.base_name)), default=0)
+        if self.last is None:
+            if system.get_file_info(root).type == fs.FileType.NotFound:
+                return 0
+            self.last = max((int(i.base_name[:-5]) for i in system.get_file_info(fs.FileSelector(root)) if re.fullmatch(r"\d+\.json", i.base_name)), default=0)
+        while system.get_file_info(f"{root}/{self.last + 1}.json").type != fs.FileType.NotFound:
+            self.last += 1
+        return self.last
 
     def initialOffset(self) -> dict:
         return {"entry": 0}
@@ -169,7 +188,7 @@ class _StreamReader(DataSourceStreamReader):
         room, file, at, parts = self.most, before["file"], before["at"], []
         for name, size in complete_files(self.path):
             start = at if name == file else 0
-            if name < file or start >= size or room <= 0:
+            if name < file or start >= size or room <= 0 or zlib.crc32(name.encode()) % self.shares != self.share:
                 continue
             end = min(size, start + room)
             parts.append([name, start, end])

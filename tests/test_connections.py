@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -141,3 +142,66 @@ def test_an_aborted_batch_is_invisible(spark, tmp_path):
     message = writer.write(iter([pa.record_batch({"id": pa.array([1], pa.int64())})]))
     writer.abort([message], 3)
     assert reply_sink.committed_files(str(tmp_path)) == [] == reply_sink.committed_files(new_folder(spark, "none").removeprefix("file:"))
+
+
+def test_each_byte_of_a_part_is_read_once(tmp_path, monkeypatch):
+    rows = [(i, request(i)) for i in range(3000)]
+    write(str(tmp_path), rows)
+    (name, size), = c.complete_files(str(tmp_path))
+    read = []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def __getattr__(self, attribute):
+            return getattr(self.f, attribute)
+
+        def read(self, n):
+            data = self.f.read(n)
+            read.append(len(data))
+            return data
+
+    class Files:
+        def open_input_file(self, path):
+            return Counted(c.fs.LocalFileSystem().open_input_file(path))
+
+    monkeypatch.setattr(c, "opened", lambda path: (Files(), path))
+    for part_bytes in (size // 10, 10**9):
+        read.clear()
+        parts = c._parts(str(tmp_path), name, 0, size, part_bytes)
+        assert [(f[0], f[3]) for p in parts for f in c.frames(p)] == rows
+        assert sum(read) < 1.1 * size and len(read) < 10 * len(parts)
+
+
+def test_a_long_connection_takes_time_in_proportion():
+    def seconds(n):
+        data = request(0) * n
+        begin = time.perf_counter()
+        assert sum(1 for _ in c.requests_of(data)) == n
+        return time.perf_counter() - begin
+
+    assert seconds(100_000) < 35 * min(seconds(10_000) for _ in range(3))
+
+
+def test_shares_take_every_file_once_and_the_journal_is_listed_once(tmp_path, monkeypatch):
+    for n in range(12):
+        write(str(tmp_path / "in"), [(100 * n + i, request(i)) for i in range(10)], prefix=f"p{n:02}")
+    listed, selector = [], c.fs.FileSelector
+    monkeypatch.setattr(c.fs, "FileSelector", lambda root: listed.append(root) or selector(root))
+    got, entries = [], 0
+    for n in range(3):
+        options = {"path": str(tmp_path / "in"), "journal": str(tmp_path / f"j{n}"), "maxBytes": "300", "share": f"{n}/3"}
+        reader, last = c._StreamReader(options), -1
+        while (entry := reader.latestOffset()["entry"]) != last:
+            last = entry
+        assert listed.count(options["journal"]) <= 1
+        entries += last
+        got += [f[0] for p in c._StreamReader(options).partitions({"entry": 0}, {"entry": last}) for f in c.frames(p)]
+    assert sorted(got) == [100 * n + i for n in range(12) for i in range(10)] and entries > 12
